@@ -10,12 +10,13 @@ from lexmill.session import cut, table
 __all__ = ["cut", "table", "small_batches", "components"]
 
 #: Rows of an Arrow batch of whole documents; bounds a Python worker's memory.
-BATCH_ROWS = 512
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keep Arrow batches of whole texts small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import decontaminate, sentencepieces, token_counts, topk
+from lexmill.llm import decontaminate, ngram_join, sentencepieces, token_counts, topk
 from lexmill.llm.common import table
 
 PIECES = "piece_bpe_32k.model"
@@ -24,6 +24,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_texts(table(spark, sf_dir, "documents"), tokenizer_path(), whole=False)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.contamination_digest(found)
@@ -40,6 +44,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_ngram_join": op3_ngram_join,
     "op4_decontamination": op4_decontamination,
     "op7_token_counts": op7_token_counts,
     "op10_topk": op10_topk,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import decontaminate, ngram_join, sentencepieces, token_counts, topk
+from lexmill.llm import decontaminate, line_dedup, ngram_join, sentencepieces, token_counts, topk
 from lexmill.llm.common import table
 
 PIECES = "piece_bpe_32k.model"
@@ -20,6 +20,13 @@ def tokenizer_path(name: str = PIECES) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_lines", "n_lines_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_texts(table(spark, sf_dir, "documents"), tokenizer_path(), whole=False)
 
@@ -43,6 +50,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_ngram_join": op3_ngram_join,
     "op4_decontamination": op4_decontamination,

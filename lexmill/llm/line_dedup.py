@@ -18,7 +18,8 @@ line to the one it goes for is then verified on the texts.
 Shorter lines always stay. Null and empty texts stay as they are. Document ids
 should be unique: rows that share an id count as one document's lines at the
 same places; rows without an id are returned unchanged. An empty table gives an
-empty result. Further columns are kept as they are.
+empty result. Further columns are kept as they are, but for earlier n_lines and
+n_lines_removed.
 """
 
 from __future__ import annotations
@@ -231,6 +232,7 @@ def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_ch
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """The rows of `df` with their remaining text, and n_lines and n_lines_removed."""
+    df = df.drop("n_lines", "n_lines_removed")
     gone = removed_lines(df, key, text, min_chars).groupBy("key").agg(F.collect_set("pos").alias("__gone"))
     full = df.join(gone.withColumnRenamed("key", "__key"), F.col(key).cast("long") == F.col("__key"), "left").drop("__key")
     full = full.withColumn(text, F.col(text).cast("string"))

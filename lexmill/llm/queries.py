@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import decontaminate, line_dedup, ngram_join, sentencepieces, token_counts, topk
+from lexmill.llm import decontaminate, language_id, line_dedup, ngram_join, sentencepieces, token_counts, topk
 from lexmill.llm.common import table
 
 PIECES = "piece_bpe_32k.model"
@@ -45,6 +45,20 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    found = language_id.identify(docs, "doc_id", "text", declared=F.col("lang"), host=F.col("source"))
+    return found.select("doc_id", "language", "confidence", "text_language", "declared_language", "rejected")
+
+
+def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over raw web pages: markup, address and host are evidence."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.col("html"), language_id.page_text(F.col("html")).alias("text"))
+    pages = pages.withColumn("declared", language_id.markup_language(F.col("html"))).drop("html")
+    found = language_id.identify(pages, "page_id", "text", declared=F.col("declared"), address=F.col("url"))
+    return found.select("page_id", "language", "confidence", "text_language", "declared_language", "rejected")
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -55,6 +69,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_join": op3_ngram_join,
     "op4_decontamination": op4_decontamination,
     "op7_token_counts": op7_token_counts,
+    "op9_language_id": op9_language_id,
+    "pages_language": pages_language,
     "op10_topk": op10_topk,
 }
 

@@ -9,15 +9,17 @@ with nothing. Sets are equal as texts of words are: equal sets are one class.
    the hash of (size level, group, contents) brings any two linked sets
    together, and hardly any others. Sets with too few filled groups also send
    their empty ones, which keeps this exact at every size.
-2. The set of each bucket with the smallest id is verified against its members
-   (one candidate for each set); verified links form first components, so that
-   groups of copies are never expanded into pairs.
-3. Buckets that still hold several components get an R-tree over the members'
-   count vectors (tokens per group). The overlap of anything below two nodes is
-   at most the sum of the smaller upper limits; node pairs that can't reach the
-   needed overlap are left out. Buckets of many members are dealt out in block
-   pairs. Pairs that pass the bound are verified on the sets.
-
+2. Within a bucket the sets are points: count vectors, tokens per group, of a
+   length that follows the set's size and can be folded to a shorter one. Two
+   sets share at most the sum of the smaller counts. First each bucket's members
+   are gathered around leaders within this bound, one candidate a member; what
+   the sets verify becomes components, so that groups of copies are never
+   expanded into pairs.
+3. Buckets that still hold several components get an R-tree over the count
+   vectors. The overlap of anything below two nodes is at most the sum of the
+   smaller upper limits; node pairs that can't reach the needed overlap, or lie
+   in one component, are left out. Buckets of many members are dealt out in
+   block pairs. All remaining pairs that pass the bound are verified.
 Components come from star contraction on the cluster. Ties go to the smallest
 id; repeated rows are copies; null, empty and blank texts have empty sets; a
 text of any length is used whole; an empty table gives no rows; columns other
@@ -38,8 +40,10 @@ from lexmill.llm.common import components, cut, small_batches
 
 #: [^\x20\x09-\x0D]
 WORD_BYTES = byte_class((0x20, 0x20), (0x09, 0x0D))
-#: Coordinates of a count vector.
-DIMS = 64
+#: Fewest coordinates of a count vector, and tokens per coordinate otherwise.
+DIMS, PER_DIM = 32, 5
+#: Ids up to which texts are looked up with a broadcast (16 bytes each), else with a shuffle.
+LOOKUP_IDS = 100_000
 #: Members of a block of a large bucket, and of an R-tree's leaf and inner node.
 BUCKET_BLOCK, LEAF, FANOUT = 4096, 32, 8
 _MULT = np.random.default_rng(7).integers(1, 2**63, 64, dtype=U64) | U64(1)
@@ -89,14 +93,34 @@ def keys(own: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def count_vector(own: np.ndarray) -> np.ndarray:
-    return np.bincount((own & U64(DIMS - 1)).astype(np.int64), minlength=DIMS).astype(np.int32)
+    """Counts of a set's tokens in a power of two of groups, one byte each."""
+    dims = DIMS
+    while dims * PER_DIM < len(own):
+        dims *= 2
+    counts = np.bincount((own & U64(dims - 1)).astype(np.int64), minlength=dims)
+    # a count beyond a byte makes all of them the largest: such a vector rules nothing out
+    return counts.astype(np.uint8) if counts.max(initial=0) < 255 else np.full(dims, 255, np.uint8)
+
+
+def folded(vectors: list[bytes]) -> np.ndarray:
+    """Vectors as rows of the length of the shortest."""
+    width = min(map(len, vectors))
+    if all(len(v) == width for v in vectors):
+        return np.frombuffer(b"".join(vectors), np.uint8).reshape(-1, width)
+    return np.array([np.frombuffer(v, np.uint8).reshape(-1, width).sum(0, dtype=np.int32) for v in vectors])
+
+
+def can_link(x: np.ndarray, nx, y: np.ndarray, ny, num: int, den: int):
+    """Whether the summed coordinate minima reach the overlap that sets of these sizes need."""
+    return (num + den) * np.minimum(x, y).sum(-1, dtype=np.int64) >= num * (nx + ny)
 
 
 def _ids(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [(len(s), set_id(s) if len(s) else None) for s in shingle_sets(batch.column(1), n)]
+        sets = [(len(s), set_id(s) if len(s) else None, count_vector(s).tobytes() if len(s) else None) for s in shingle_sets(batch.column(1), n)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([s[0] for s in sets], pa.int64()), pa.array([s[1] for s in sets], pa.int64())], ["key", "n", "sid"]
+            [batch.column(0), *(pa.array([s[k] for s in sets], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary())))],
+            ["key", "n", "sid", "vector"],
         )
 
 
@@ -118,14 +142,11 @@ def _keys(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iter
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, sizes, vectors, sets = [], [], [], []
+        ids, sets = [], []
         for wanted, own in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), n), strict=True):
             if len(own) and set_id(own) == wanted:
-                ids.append(wanted), sizes.append(len(own)), vectors.append(count_vector(own).tobytes()), sets.append(own.tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(vectors, pa.binary()), pa.array(sets, pa.binary())],
-            ["sid", "n", "vector", "set"],
-        )
+                ids.append(wanted), sets.append(own.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["sid", "set"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -144,91 +165,165 @@ def _verified(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator
 
 
 class CountTree:
-    """A bulk-loaded R-tree over count vectors, with the sizes of the sets."""
+    """A bulk-loaded R-tree over count vectors, with the sizes and the components of the sets."""
 
-    def __init__(self, vectors: np.ndarray, sizes: np.ndarray) -> None:
-        spread = vectors.std(0).argsort()[::-1][:3]
-        order = np.lexsort((vectors[:, spread[1]], vectors[:, spread[0]] // 4, sizes // 8))
-        self.order, self.vectors, self.sizes = order, vectors[order], sizes[order]
+    def __init__(self, vectors: np.ndarray, sizes: np.ndarray, group: np.ndarray) -> None:
+        spread = vectors.std(0).argsort()[::-1][:2]
+        order = np.lexsort((vectors[:, spread[1]], vectors[:, spread[0]], sizes // 8, group))
+        self.order, self.vectors, self.sizes, self.group = order, vectors[order], sizes[order], group[order]
         starts = np.arange(0, len(order), LEAF)
-        #: Levels from the leaves up: upper limits of the coordinates and the smallest size below.
-        self.levels = [(np.maximum.reduceat(self.vectors, starts), np.minimum.reduceat(self.sizes, starts))]
-        while len(self.levels[-1][0]) > FANOUT:
-            high, low = self.levels[-1]
-            starts = np.arange(0, len(high), FANOUT)
-            self.levels.append((np.maximum.reduceat(high, starts), np.minimum.reduceat(low, starts)))
-
-    def pairs(self, group: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of rows of different groups whose overlap can suffice."""
-
-        def can(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
-            return (num + den) * np.minimum(x, y).sum(-1, dtype=np.int64) >= num * (nx + ny)
-
-        high, low = self.levels[-1]
-        p, q = np.triu_indices(len(high))
-        for level in range(len(self.levels) - 1, -1, -1):
-            high, low = self.levels[level]
-            good = np.concatenate([can(high[p[i : i + 4096]], low[p[i : i + 4096]], high[q[i : i + 4096]], low[q[i : i + 4096]]) for i in range(0, len(p), 4096)] or [np.zeros(0, bool)])
+        #: Levels from the leaves up: upper limits of the coordinates, smallest size, least and greatest component below.
+        level = (self.vectors, self.sizes, self.group, self.group)
+        self.levels: list[tuple[np.ndarray, ...]] = []
+        while not self.levels or len(starts) > 1:
+            ways = (np.maximum, np.minimum, np.minimum, np.maximum)
+            level = tuple(f.reduceat(x, starts) for f, x in zip(ways, level, strict=True))
+            self.levels.append(level)
+            if len(level[0]) <= FANOUT:
+                break
+            starts = np.arange(0, len(level[0]), FANOUT)
+
+    def pairs(self, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows of different components whose overlap can suffice."""
+        p, q = np.triu_indices(len(self.levels[-1][0]))
+        for k in range(len(self.levels) - 1, -1, -1):
+            high, low, least, most = self.levels[k]
+            good = ~((least[p] == most[p]) & (least[q] == most[q]) & (least[p] == least[q]))
             p, q = p[good], q[good]
-            if level:
-                width = len(self.levels[level - 1][0])
-                below = np.arange(FANOUT)
-                p = np.broadcast_to((p[:, None, None] * FANOUT + below[:, None]), (len(p), FANOUT, FANOUT)).ravel()
-                q = np.broadcast_to((q[:, None, None] * FANOUT + below[None, :]), (len(q), FANOUT, FANOUT)).ravel()
+            good = [can_link(high[p[i : i + 4096]], low[p[i : i + 4096]], high[q[i : i + 4096]], low[q[i : i + 4096]], num, den) for i in range(0, len(p), 4096)]
+            good = np.concatenate(good) if good else np.zeros(0, bool)
+            p, q = p[good], q[good]
+            if k:
+                below, width = np.arange(FANOUT), len(self.levels[k - 1][0])
+                p = np.broadcast_to(p[:, None, None] * FANOUT + below[:, None], (len(p), FANOUT, FANOUT)).ravel()
+                q = np.broadcast_to(q[:, None, None] * FANOUT + below[None, :], (len(q), FANOUT, FANOUT)).ravel()
                 good = (p <= q) & (q < width)
                 p, q = p[good], q[good]
-        group = group[self.order]
         for a, b in zip(p.tolist(), q.tolist(), strict=True):
             x, y = slice(a * LEAF, (a + 1) * LEAF), slice(b * LEAF, (b + 1) * LEAF)
-            good = can(self.vectors[x][:, None], self.sizes[x][:, None], self.vectors[y][None], self.sizes[y][None])
-            good &= group[x][:, None] != group[y][None]
-            i, j = np.nonzero(good)
+            good = can_link(self.vectors[x][:, None], self.sizes[x][:, None], self.vectors[y][None], self.sizes[y][None], num, den)
+            i, j = np.nonzero(good & (self.group[x][:, None] != self.group[y][None]))
             i, j = i + a * LEAF, j + b * LEAF
             yield self.order[i[i < j]], self.order[j[i < j]]
 
 
-def _tree_join(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Candidates of each run of rows of one (bucket, lo, hi); rows come sorted by these."""
+def all_pairs(vectors: np.ndarray, sizes: np.ndarray, group: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of different components that pass the bound; few rows are one leaf."""
+    if len(sizes) > 2 * LEAF:
+        found = [*CountTree(vectors, sizes, group).pairs(num, den), (np.zeros(0, np.int64),) * 2]
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        return i, j
+    i, j = np.triu_indices(len(sizes), 1)
+    good = group[i] != group[j]
+    i, j = i[good], j[good]
+    good = can_link(vectors[i], sizes[i], vectors[j], sizes[j], num, den)
+    return i[good], j[good]
+
+
+def led_pairs(vectors: np.ndarray, sizes: np.ndarray, num: int, den: int, leaders: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Each row with the first leader within the bound; rows that have none become leaders in turn."""
+    left, out = np.arange(len(sizes)), []
+    for _ in range(leaders):
+        if len(left) < 2:
+            break
+        lead, rest = left[0], left[1:]
+        good = can_link(vectors[rest], sizes[rest], vectors[lead], sizes[lead], num, den)
+        out.append((np.full(int(good.sum()), lead), rest[good]))
+        left = rest[~good]
+    out.append((np.zeros(0, np.int64),) * 2)
+    i, j = (np.concatenate(x) for x in zip(*out, strict=True))
+    return i, j
+
+
+def _bucket_pairs(batches: Iterator[pa.RecordBatch], num: int, den: int, leading: bool) -> Iterator[pa.RecordBatch]:
+    """Candidates of each run of rows of one (bucket, lo, hi); rows come sorted by these and the set."""
     held: list = []
     name = None
-
-    def flush() -> pa.RecordBatch:
-        sid = np.array([h[0] for h in held], np.int64)
-        comp = np.array([h[1] for h in held], np.int64)
-        sizes = np.array([h[2] for h in held], np.int64)
-        block = np.array([h[4] for h in held], np.int64)
-        vectors = np.frombuffer(b"".join(h[3] for h in held), np.int32).reshape(-1, DIMS)
-        found = [(np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])) for i, j in CountTree(vectors, sizes).pairs(comp, num, den) for i, j in [_across(i, j, block, name)]]
-        pairs = np.unique(np.array([np.concatenate([f[k] for f in found]) for k in (0, 1)]), axis=1) if found else np.zeros((2, 0), np.int64)
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    seen: set[tuple[int, int]] = set()
+
+    def flush() -> None:
+        if len(held) == 2:  # most buckets; the same two sets often meet in several
+            two = (held[0][0], held[1][0])
+            if two in seen:
+                return
+            if len(seen) < 500_000:
+                seen.add(two)
+        sid, comp, sizes, block = (np.array([h[k] for h in held], np.int64) for k in (0, 1, 2, 4))
+        vectors = folded([h[3] for h in held])
+        if leading:
+            i, j = led_pairs(vectors, sizes, num, den)
+        else:
+            i, j = all_pairs(vectors, sizes, comp, num, den)
+        if name[1] != name[2]:  # a pair within a block belongs to the block's own task
+            good = block[i] != block[j]
+            i, j = i[good], j[good]
+        if len(i):
+            out.append((np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])))
+
+    def emit() -> pa.RecordBatch:
+        pairs = np.unique(np.array([np.concatenate(x) for x in zip(*out, strict=True)]), axis=1)
+        out.clear()
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if row[:3] != name:
                 if len(held) > 1:
-                    yield flush()
+                    flush()
+                    if len(out) > 5000:
+                        yield emit()
                 held, name = [], row[:3]
             held.append(row[3:])
     if len(held) > 1:
-        yield flush()
-
-
-def _across(i: np.ndarray, j: np.ndarray, block: np.ndarray, name: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """A pair of different blocks belongs to the task of both, one of a single block to that block's own."""
-    good = block[i] != block[j] if name[1] != name[2] else np.ones(len(i), bool)
-    return i[good], j[good]
+        flush()
+    if out:
+        yield emit()
+
+
+def _links(pairs: DataFrame, classes: DataFrame, src: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Of candidate pairs (a, b) those whose sets are linked."""
+    pairs = cut(pairs)
+    needed = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
+    needed = cut(needed.join(classes.select("sid", "key"), "sid"))
+    wanted = F.broadcast(needed) if needed.count() <= LOOKUP_IDS else needed
+    sets = src.join(wanted, "key").select("sid", "text").mapInArrow(lambda it: _sets(it, n), "sid long, set binary")
+    sets = cut(sets.dropDuplicates(["sid"]))
+    full = pairs.join(sets.select(F.col("sid").alias("a"), F.col("set").alias("set_a")), "a").join(
+        sets.select(F.col("sid").alias("b"), F.col("set").alias("set_b")), "b"
+    )
+    return cut(full.select("a", "b", "set_a", "set_b").mapInArrow(lambda it: _verified(it, num, den), "a long, b long"))
 
 
-def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of candidate pairs (a, b) those that are linked; counts are looked at before sets move."""
-    small = sets.select("sid", "n", "vector")
-    one = small.select(F.col("sid").alias("a"), F.col("n").alias("n_a"))
-    two = small.select(F.col("sid").alias("b"), F.col("n").alias("n_b"))
-    fit = pairs.join(one, "a").join(two, "b").where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")).select("a", "b")
-    full = fit.join(sets.select(F.col("sid").alias("a"), F.col("set").alias("set_a")), "a").join(
-        sets.select(F.col("sid").alias("b"), F.col("set").alias("set_b")), "b"
+def _candidates(rows: DataFrame, classes: DataFrame, num: int, den: int, leading: bool) -> DataFrame:
+    """Candidate pairs (a, b) of bucket rows (bucket, sid, comp)."""
+    own = Window.partitionBy("bucket")
+    blocked = rows.withColumn("blocks", F.ceil(F.count("*").over(own) / BUCKET_BLOCK).cast("int"))
+    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    # around leaders each block is taken by itself; all pairs need every two blocks
+    other = F.array("block") if leading else F.sequence(F.lit(0), F.col("blocks") - 1)
+    blocked = blocked.withColumn("other", F.explode(other))
+    dealt = blocked.join(classes.select("sid", "n", "vector"), "sid").select(
+        "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "sid", "comp", "n", "vector", "block"
+    )
+    dealt = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "sid")
+    return dealt.mapInArrow(lambda it: _bucket_pairs(it, num, den, leading), "a long, b long")
+
+
+def _rejoined(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after further links."""
+    if not links.limit(1).count():
+        return joined
+    ends = links.select(F.col("a").alias("x")).union(links.select(F.col("b").alias("x"))).distinct()
+    ends = cut(ends.join(joined, F.col("x") == F.col("node"), "left").select("x", F.coalesce("component", "x").alias("c")))
+    top = components(
+        links.join(ends.select(F.col("x").alias("a"), F.col("c").alias("ca")), "a")
+        .join(ends.select(F.col("x").alias("b"), F.col("c").alias("cb")), "b")
+        .select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     )
-    return full.select("a", "b", "set_a", "set_b").mapInArrow(lambda it: _verified(it, num, den), "a long, b long")
+    both = joined.select("node", "component").union(ends.where("x = c").select(F.col("x").alias("node"), F.col("c").alias("component"))).distinct()
+    moved = both.join(top.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    return cut(moved.select("node", F.coalesce("to", "component").alias("component")))
 
 
 def near_duplicates(
@@ -237,43 +332,26 @@ def near_duplicates(
     """(key, n_shingles, component_id) of each row: sets link at a similarity of num/den or more."""
     small_batches(df.sparkSession)
     src = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    ids = cut(src.mapInArrow(lambda it: _ids(it, n), "key long, n long, sid long"))
-    classes = ids.where("sid is not null").groupBy("sid").agg(F.min("key").alias("key"))
+    ids = cut(src.mapInArrow(lambda it: _ids(it, n), "key long, n long, sid long, vector binary"))
+    classes = ids.where("sid is not null").groupBy("sid").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("vector").alias("vector"))
+    classes = cut(classes)
     sent = src.select("text").mapInArrow(lambda it: _keys(it, n, num, den), "bucket long, sid long")
     own = Window.partitionBy("bucket")
-    buckets = cut(
-        sent.withColumns({"leader": F.min("sid").over(own), "last": F.max("sid").over(own)})
-        .where("leader < last").select("bucket", "sid", "leader")
-    )
-    survivors = buckets.select("sid").distinct().join(classes, "sid")
-    sets = survivors.join(src, "key").select("sid", "text").mapInArrow(
-        lambda it: _sets(it, n), "sid long, n long, vector binary, set binary"
-    )
-    sets = cut(sets.dropDuplicates(["sid"]))
-    star = buckets.where("sid <> leader").groupBy("sid").agg(F.min("leader").alias("b")).withColumnRenamed("sid", "a")
-    links = cut(_links(star, sets, num, den))
-    first = components(links)
+    members = sent.withColumns({"low": F.min("sid").over(own), "high": F.max("sid").over(own)})
+    members = cut(members.where("low < high").select("bucket", "sid").distinct())
 
-    labelled = buckets.select("bucket", "sid").distinct().join(first, F.col("sid") == F.col("node"), "left").select(
-        "bucket", "sid", F.coalesce("component", "sid").alias("comp")
-    )
-    open_ = labelled.withColumns(
-        {"low": F.min("comp").over(own), "high": F.max("comp").over(own), "members": F.count("*").over(own)}
-    ).where("low < high")
-    blocked = open_.withColumn("blocks", F.ceil(F.col("members") / BUCKET_BLOCK).cast("int"))
-    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    blocked = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = blocked.join(sets.select("sid", "n", "vector"), "sid").select(
-        "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "sid", "comp", "n", "vector", "block"
-    )
-    dealt = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    more = dealt.mapInArrow(lambda it: _tree_join(it, num, den), "a long, b long").distinct()
-    across = cut(_links(more, sets, num, den))
-    joined = components(links.union(across)) if across.limit(1).count() else first
+    led = _candidates(members.withColumn("comp", F.col("sid")), classes, num, den, True)
+    led = led.groupBy(F.col("b")).agg(F.min("a").alias("a")).select("a", "b")
+    joined = components(_links(led, classes, src, n, num, den))
+
+    labelled = members.join(joined, F.col("sid") == F.col("node"), "left").select("bucket", "sid", F.coalesce("component", "sid").alias("comp"))
+    open_ = labelled.withColumns({"low": F.min("comp").over(own), "high": F.max("comp").over(own)}).where("low < high")
+    rest = _candidates(open_.select("bucket", "sid", "comp"), classes, num, den, False).distinct()
+    joined = _rejoined(joined, _links(rest, classes, src, n, num, den))
 
     named = classes.join(joined, F.col("sid") == F.col("node"), "left").select("sid", "key", F.coalesce("component", "sid").alias("comp"))
     least = named.groupBy("comp").agg(F.min("key").alias("component_id"))
     named = named.join(least, "comp").select("sid", "component_id")
-    return ids.join(named, "sid", "left").select(
+    return ids.select("key", "n", "sid").join(named, "sid", "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id")
     )

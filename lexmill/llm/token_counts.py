@@ -10,9 +10,8 @@ count of its chunks plus the table inside the chunk in which the prefix ends.
 
 Null and empty texts have the table [0]. Rows are independent: repeated rows
 give repeated results, ties cannot occur, an empty table gives an empty one,
-further columns are not read. Equal scores in a vocabulary could break the
-rule above; each newly met chunk is checked against the sentencepiece library
-in its Arrow batch, and one that differs is encoded prefix by prefix instead.
+further columns are not read. A chunk for which no stable token is found is
+encoded prefix by prefix and counted by the sentencepiece library instead.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ from lexmill.llm.common import small_batches
 from lexmill.llm.pieces import ROW_CHARS, HashIndex, PieceModel, chunks, loaded, model_bytes
 
 #: Tables of chunks that a Python worker keeps.
-KEPT_TABLES = 300_000
+KEPT_TABLES = 700_000
 _STEP = np.int64(1_000_003)
 
 
@@ -59,7 +58,8 @@ class PrefixCounts:
                 self.piece_at[n] = HashIndex(*np.array(own, np.int64).T)
         self.pair_keys, self.pair_ok = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
         self.total: dict[str, int] = {}
-        self.tables: dict[str, np.ndarray] = {}
+        #: int8 counts as bytes, or an array for a long chunk
+        self.tables: dict[str, bytes | np.ndarray] = {}
         self.again: set[str] = set()
 
     @staticmethod
@@ -160,19 +160,21 @@ class PrefixCounts:
                 short.append(c)
             else:
                 self.tables[c] = self.long(c)
+                self.total[c] = int(self.tables[c][-1])
         short.sort(key=len, reverse=True)
         for at in range(0, len(short), 1 << 16):
             part = short[at : at + (1 << 16)]
             counts = self.rows(part)
-            self.tables.update((c, row[: len(c) + 1]) for c, row in zip(part, counts.astype(np.int8), strict=True))
-        right = list(map(len, self.model.by_library(new)))
-        ends = [int(self.tables[c][-1]) for c in new]
-        if ends != right:
-            for c, own, lib in zip(new, ends, right, strict=True):
-                if own != lib:
-                    self.tables[c] = self.slow(c)
-                    self.tables[c][-1] = lib
-        self.total.update(zip(new, right, strict=True))
+            sizes = np.array(list(map(len, part)))
+            odd = np.flatnonzero((counts < 0).sum(1) > counts.shape[1] - 1 - sizes)
+            total = counts[np.arange(len(part)), sizes].tolist()
+            # a count below 128 a byte: a chunk of a row has at most 4 tokens a character
+            flat, width = counts.astype(np.int8).tobytes(), counts.shape[1]
+            self.tables.update(zip(part, [flat[a : a + n + 1] for a, n in zip(range(0, len(flat), width), sizes.tolist(), strict=True)], strict=True))
+            self.total.update(zip(part, total, strict=True))
+            for c in map(part.__getitem__, odd.tolist()):
+                self.tables[c] = self.slow(c)
+                self.total[c] = len(self.model.by_library([c])[0])
 
     def long(self, chunk: str) -> np.ndarray:
         """The same pass for one text, with a table of last tokens."""
@@ -198,7 +200,7 @@ class PrefixCounts:
         if len(self.tables) > KEPT_TABLES:  # forget the chunks that were met in one group only
             if len(self.again) > KEPT_TABLES // 2:
                 self.again.clear()
-            self.tables = {c: self.tables[c].copy() for c in self.again}
+            self.tables = {c: self.tables[c] for c in self.again}
             self.total = {c: self.total[c] for c in self.again}
         new = met.difference(self.tables)
         self.again.update(c for c in met - new if len(c) <= ROW_CHARS)
@@ -207,12 +209,24 @@ class PrefixCounts:
     def table(self, text: str) -> np.ndarray:
         """Tokens of text[:i] for i = 0 .. len(text); chunks must be known."""
         parts = chunks(text)
-        inner = [self.tables[c][1:] for c in parts]
+        inner = [t if isinstance(t := self.tables[c], np.ndarray) else np.frombuffer(t, np.int8) for c in parts]
+        inner = [t[1:] for t in inner]
         ends = np.cumsum([self.total[c] for c in parts[:-1]], dtype=np.int32) if len(parts) > 1 else np.zeros(0, np.int32)
         base = np.repeat(np.append(np.int32(0), ends), list(map(len, inner))) if parts else np.zeros(0, np.int32)
         # the model's own space before the text is no character of it
         return np.append(np.int32(0), (np.concatenate(inner) + base)[1:]) if parts else np.zeros(1, np.int32)
 
+    def fitting(self, parts: list[str], budget: int) -> int:
+        """Characters of the longest prefix of at most `budget` tokens: it ends in the last chunk that starts within the budget."""
+        base, chars = 0, -1
+        for c in parts:
+            end = base + self.total[c]
+            if end > budget:
+                inside = np.asarray(self.tables[c] if isinstance(self.tables[c], np.ndarray) else np.frombuffer(self.tables[c], np.int8), np.int64)
+                return max(0, chars + int(np.flatnonzero(base + inside <= budget)[-1]))
+            base, chars = end, chars + len(c)
+        return max(0, chars)
+
 
 _kept: dict[int, PrefixCounts] = {}
 
@@ -242,13 +256,9 @@ def _batches(batches: Iterator[pa.RecordBatch], proto: bytes, budget: int, whole
                     n = sum(map(total, p))
                     n_bytes.append(len(t.encode()))
                     n_tokens.append(n)
-                    if n > budget or whole:
-                        at = counts.table(t)
-                        fits.append(int(np.flatnonzero(at <= budget)[-1]))
-                        if whole:
-                            tables.append(at)
-                    else:
-                        fits.append(len(t))
+                    fits.append(len(t) if n <= budget else counts.fitting(p, budget))
+                    if whole:
+                        tables.append(counts.table(t))
                 group, size = [], 0
         arrays = [key, pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(fits, pa.int64())]
         names = ["key", "n_bytes", "n_tokens", "fitting_chars"]

@@ -36,6 +36,8 @@ from lexmill.llm.bytescan import BLOCK, U64, mix, powers
 from lexmill.llm.common import cut, small_batches
 
 MIN_CHARS = 20
+#: Lines up to which texts are looked up with a broadcast (about 60 bytes each), else with a shuffle.
+LOOKUP_LINES = 200_000
 _CODE_BASE = 0xD1342543DE82EF95
 _CODE_INVERSE = pow(_CODE_BASE, -1, 2**64)
 _codes: list[np.ndarray] = []
@@ -70,6 +72,11 @@ class Lines:
         return mix(self.raw(a, b) + (b - a).astype(U64) * U64(0x8EBC6AF09C88C6E3))
 
 
+_MARK = pa.struct([("m", pa.int32()), ("side", pa.int32()), ("shorter", pa.bool_()), ("insert", pa.bool_()), ("replace", pa.bool_())])
+_MARKED = pa.schema([("key", pa.int64()), ("pos", pa.int32()), ("line", pa.string()), ("marks", pa.list_(_MARK))])
+_MARKED_DDL = "key long, pos int, line string, marks array<struct<m: int, side: int, shorter: boolean, insert: boolean, replace: boolean>>"
+
+
 def _grouped(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
     group, size, first = [], 0, 0
     for k, t in enumerate(texts):
@@ -111,39 +118,36 @@ def _lines(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.Rec
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(variant, whole, key, pos) of the marked lines of each text."""
+    """(variant, kind, key, pos) of marked lines; kind: 0 a longer line without a character,
+    1 a whole shorter line, 2 a line without a character at a place."""
     for batch in batches:
-        keys, texts, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        for first, group in _grouped([t or "" for t in texts]):
+        keys, places, lines, marks = (c.to_pylist() for c in batch.columns)
+        for first, group in _grouped(lines):
             x = Lines(group)
-            at = np.cumsum(x.counts) - x.counts
+            power = powers(_CODE_BASE, len(x.points) + 1)
             out: list[tuple] = []
             for d in range(len(group)):
-                for m in marks[first + d] or ():
-                    line = at[d] + m["pos"]
-                    a, b = int(x.start[line]), int(x.end[line])
+                a, b, key, pos = int(x.start[d]), int(x.end[d]), keys[first + d], places[first + d]
+                for m in marks[first + d]:
                     half = (m["m"] - 1) // 2
                     name = U64(m["m"] * 4 + m["side"])
                     if m["shorter"]:
-                        v = mix(x.raw(np.array([a]), np.array([b])) + np.array([name * U64(3) + U64(1)]))
-                        out.append((v, True, keys[first + d], m["pos"]))
+                        out.append((mix(x.raw(np.array([a]), np.array([b])) + np.array([name * U64(3) + U64(1)])), 1, key, pos))
                         continue
                     # the edit lies outside the shared half
                     i = np.arange(a + half, b) if m["side"] == 0 else np.arange(a, b - half)
-                    raw = x.raw(np.full(len(i), a), i) + x.raw(i + 1, np.full(len(i), b)) * powers(_CODE_BASE, len(x.points) + 1)[i - a]
+                    raw = x.raw(np.full(len(i), a), i) + x.raw(i + 1, np.full(len(i), b)) * power[i - a]
                     if m["insert"]:
-                        out.append((mix(raw + np.array([name * U64(3) + U64(1)])), False, keys[first + d], m["pos"]))
+                        out.append((mix(raw + np.array([name * U64(3) + U64(1)])), 0, key, pos))
                     if m["replace"]:
                         place = (i - a).astype(U64) * U64(0x9FB21C651E98DF25)
-                        out.append((mix(mix(raw + np.array([name * U64(3) + U64(2)])) + place), None, keys[first + d], m["pos"]))
+                        out.append((mix(mix(raw + np.array([name * U64(3) + U64(2)])) + place), 2, key, pos))
             if out:
                 size = [len(o[0]) for o in out]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([o[0] for o in out]).view(np.int64)),
-                        pa.array(np.repeat(np.array([{True: 1, False: 0, None: 2}[o[1]] for o in out], np.int32), size)),
-                        pa.array(np.repeat(np.array([o[2] for o in out], np.int64), size)),
-                        pa.array(np.repeat(np.array([o[3] for o in out], np.int32), size)),
+                        *(pa.array(np.repeat(np.array([o[k] for o in out], t), size)) for k, t in ((1, np.int32), (2, np.int64), (3, np.int32))),
                     ],
                     ["variant", "kind", "key", "pos"],
                 )
@@ -158,15 +162,13 @@ def within_one_edit(a: str, b: str) -> bool:
 
 
 def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, pos, line) of the wanted lines of each text."""
+    """(key, pos, line, marks) of the marked lines of each text."""
     for batch in batches:
-        out: list[tuple] = []
+        rows: list[dict] = []
         for key, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             lines = (text or "").split("\n")
-            out += [(key, p, lines[p]) for p in wanted or ()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.string()))], ["key", "pos", "line"]
-        )
+            rows += [{"key": key, "pos": w["pos"], "line": lines[w["pos"]], "marks": w["marks"]} for w in wanted]
+        yield pa.RecordBatch.from_pylist(rows, _MARKED)
 
 
 def _kept(batches: Iterator[pa.RecordBatch], names: list[str], text: str) -> Iterator[pa.RecordBatch]:
@@ -193,38 +195,37 @@ def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     first = lines.groupBy("h").agg(F.min(F.struct("key", "pos")).alias("at"))
 
     half = lines.where(F.size("halves") > 0).select("h", "n", F.posexplode("halves").alias("k", "half"))
-    half = half.withColumns({"m": F.col("n") + F.when(F.col("k") >= 2, 1).otherwise(0), "side": F.col("k") % 2})
+    half = half.select("half", "h", (F.col("n") * 4 + F.col("k")).alias("nk"))
     own = Window.partitionBy("half")
-    long_, short = F.when(F.col("n") == F.col("m"), F.col("h")), F.when(F.col("n") < F.col("m"), F.col("h"))
+    longer = F.col("nk") % 4 < 2
     half = half.withColumns(
-        {"l0": F.min(long_).over(own), "l1": F.max(long_).over(own), "s0": F.min(short).over(own)}
+        {
+            "l0": F.min(F.when(longer, F.col("h"))).over(own), "l1": F.max(F.when(longer, F.col("h"))).over(own),
+            "s0": F.min(F.when(~longer, F.col("h"))).over(own),
+        }
     )
     marked = half.select(
-        "h", "m", "side", (F.col("n") < F.col("m")).alias("shorter"),
-        (F.col("s0").isNotNull() & F.col("l0").isNotNull()).alias("insert"), (F.col("l0") != F.col("l1")).alias("replace"),
+        "h", (F.shiftright("nk", 2) + F.when(longer, 0).otherwise(1)).alias("m"), (F.col("nk") % 2).alias("side"), (~longer).alias("shorter"),
+        (F.col("s0").isNotNull() & F.col("l0").isNotNull()).alias("insert"), F.coalesce(F.col("l0") != F.col("l1"), F.lit(False)).alias("replace"),
     )
-    marked = marked.where(F.when(F.col("shorter"), F.col("insert")).otherwise(F.col("insert") | F.coalesce("replace", F.lit(False)))).distinct()
-    placed = marked.join(first, "h").groupBy("at.key").agg(F.collect_list(F.struct("at.pos", "m", "side", "shorter", "insert", "replace")).alias("marks"))
-    variants = src.join(placed, "key").select("key", "text", "marks").mapInArrow(_variants, "variant long, kind int, key long, pos int")
-    # kind: 0 a longer line without a character, 1 a whole shorter line, 2 a line without a character at a place
+    marked = marked.where(F.when(F.col("shorter"), F.col("insert")).otherwise(F.col("insert") | F.col("replace"))).distinct()
+    marked = marked.groupBy("h").agg(F.collect_list(F.struct("m", "side", "shorter", "insert", "replace")).alias("marks"))
+    placed = marked.join(first, "h").groupBy("at.key").agg(F.collect_list(F.struct("at.pos", "marks")).alias("wanted"))
+    placed = cut(placed)
+    n_marked = placed.agg(F.sum(F.size("wanted"))).first()[0] or 0
+    placed = F.broadcast(placed) if n_marked <= LOOKUP_LINES else placed
+    picked = cut(src.join(placed, "key").select("key", "text", "wanted").mapInArrow(_picked, _MARKED_DDL))
+    variants = picked.select("key", "pos", "line", "marks").mapInArrow(_variants, "variant long, kind int, key long, pos int")
     place = F.struct("key", "pos")
     own = Window.partitionBy("variant")
     groups = variants.withColumns(
-        {
-            "place": place,
-            "by_whole": F.min(F.when(F.col("kind") == 1, place)).over(own),
-            "by_cut": F.min(F.when(F.col("kind") == 0, place)).over(own),
-            "by_same": F.min(F.when(F.col("kind") == 2, place)).over(own),
-        }
+        {"place": place} | {f"by_{k}": F.min(F.when(F.col("kind") == k, place)).over(own) for k in range(3)}
     )
-    by = F.when(F.col("kind") == 0, F.col("by_whole")).when(F.col("kind") == 1, F.col("by_cut")).otherwise(F.col("by_same"))
+    by = F.when(F.col("kind") == 0, F.col("by_1")).when(F.col("kind") == 1, F.col("by_0")).otherwise(F.col("by_2"))
     near = groups.withColumn("by", by).where("by < place").groupBy("place").agg(F.min("by").alias("by"))
-    near = cut(near.select("place", "by"))
-    wanted = near.select("place.*").union(near.select("by.*")).distinct().groupBy("key").agg(F.collect_list("pos").alias("wanted"))
-    picked = src.join(wanted, "key").select("key", "text", "wanted").mapInArrow(_picked, "key long, pos int, line string")
-    picked = picked.select(F.struct("key", "pos").alias("place"), "line").dropDuplicates(["place"])
+    texts = picked.select(F.struct("key", "pos").alias("place"), "line").dropDuplicates(["place"])
     verify = F.pandas_udf(lambda a, b: a.combine(b, within_one_edit).astype(bool), "boolean")
-    near = near.join(picked, "place").join(picked.select(F.col("place").alias("by"), F.col("line").alias("other")), "by")
+    near = near.join(texts, "place").join(texts.select(F.col("place").alias("by"), F.col("line").alias("other")), "by")
     near = near.where(verify("line", "other")).select("place.key", "place.pos", F.lit(True).alias("near"))
     again = lines.select("h", "key", "pos").join(first, "h").where(F.struct("key", "pos") != F.col("at")).select("key", "pos", F.lit(False).alias("near"))
     return again.union(near)

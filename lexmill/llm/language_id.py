@@ -9,8 +9,8 @@ Per row the log posterior of each language adds up
 * the prior of the host, smoothed towards its domain, that towards the suffix,
   that towards the corpus. The counts are aggregated from all rows' text
   evidence; a row's own count is taken out of its prior.
-The trigram model is fitted on at most TRAIN_ROWS labelled rows, those with the
-smallest hash of their key; everything else covers all rows.
+The trigram model is fitted on at most TRAIN_ROWS labelled rows, picked by the
+hash of their key; everything else covers all rows.
 
 Rejected are rows without a letter and rows whose best class is `und`. Null
 and empty texts have no text evidence and are rejected. Missing declarations,
@@ -112,11 +112,15 @@ def identify(
     spark = df.sparkSession
     small_batches(spark)
     none = F.lit(None).cast("string")
-    declared, label = none if declared is None else declared, declared if label is None else label
+    declared = none if declared is None else declared
+    label = declared if label is None else label
     address = none if address is None else address
     host = F.nullif(F.regexp_extract(address, r"^[a-z]+://([^/:?#]+)", 1), F.lit("")) if host is None else host
     train = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), label.alias("l")).where(F.col("l").isin(*LANGUAGES))
-    train = train.orderBy(F.xxhash64("k"), "k").limit(train_rows).collect()
+    labelled = train.select("l").count()
+    if labelled > train_rows:
+        train = train.where(F.pmod(F.xxhash64("k"), F.lit(2**40)) < int(2**40 * 0.9 * train_rows / labelled))
+    train = train.limit(train_rows).collect()
     table = spark.sparkContext.broadcast(fit([r["t"] for r in train], [r["l"] for r in train]))
     src = df.withColumns(
         {

@@ -89,7 +89,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_topk": op10_topk,
 }
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ITEM_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_join": rf"""
+        with recursive w as (select doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), []) as w from documents),
+        s as (select doc_id, case when len(w) >= 3 then list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))
+          when len(w) > 0 then [array_to_string(w, ' ')] else [] end as sh from w),
+        x as (select doc_id, unnest(sh) as g from s),
+        i as (select a.doc_id as a, b.doc_id as b, count(*) as c from x a join x b on a.g = b.g and a.doc_id < b.doc_id group by all),
+        l as (select a, b from i join s p on p.doc_id = a join s q on q.doc_id = b where 100 * c >= 90 * (len(p.sh) + len(q.sh) - c)),
+        e as (select a, b from l union all select b, a from l),
+        r(doc_id, other) as (select doc_id, doc_id from documents union select r.doc_id, e.b from r join e on r.other = e.a)
+        select doc_id, cast(any_value(len(sh)) as bigint) as n_shingles, min(other) as component_id from r join s using (doc_id) group by doc_id""",
+    "op4_decontamination": f"""
+        with d as (select doc_id, coalesce({_ITEM_WORDS}, []) as w from documents),
+        i as (select item_id, {_ITEM_WORDS} as w from benchmark),
+        iw as (select distinct item_id, least(10, len(w)) as n, array_to_string(w[k:k + least(10, len(w)) - 1], ' ') as win
+          from (select *, unnest(range(1, len(w) - least(10, len(w)) + 2)) as k from i where len(w) > 0)),
+        dw as (select doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') as win
+          from (select *, unnest(range(1, len(w) - n + 2)) as k from d, (select distinct n from iw))),
+        h as (select doc_id, item_id, k, n from dw join iw using (n, win)),
+        p as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(k, k + n)) as q from h) group by doc_id),
+        t as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as items
+          from (select distinct doc_id, cast(item_id as varchar) as item_id from h) group by doc_id)
+        select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+          sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from d left join p using (doc_id) left join t using (doc_id)""",
     "op10_topk": """
         with v as (
           select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as e

@@ -192,3 +192,39 @@ def is_conversation(messages: Column | str, strict: bool = False) -> Column:
         return (F.coalesce(F.size(m), F.lit(0)) > 0) & F.forall(m, lambda x: (clean(x["role"]) != "") & (clean(x["content"]) != ""))
     good = valid_messages(m)
     return (F.size(good) >= 2) & F.exists(good, lambda x: x["role"] == "user") & F.exists(good, lambda x: x["role"] == "assistant")
+
+
+# ---- values and renderers
+
+
+def safe_number(x: Column | str, kind: str) -> Column:
+    """The value as a number of that kind, or null where it isn't one."""
+    return col(x).try_cast(kind)
+
+
+def first_filled(*values: Column | str) -> Column:
+    """The first value that is neither null nor an empty string."""
+    return F.coalesce(*(F.nullif(col(v).cast("string"), F.lit("")) for v in values))
+
+
+def json_paths(raw: Column | str, *paths: str) -> Column:
+    """The first filled value at one of several paths of a JSON text, e.g. source.dataset, then dataset."""
+    return first_filled(*(F.get_json_object(col(raw), f"$.{p}") for p in paths))
+
+
+def prefixed_id(prefix: str, *fields: str) -> Column:
+    """An id of a record's canonical JSON: prefix and 16 hex digits."""
+    return F.concat(F.lit(prefix), F.substring(F.sha1(F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "false"})), 1, 16))
+
+
+def question_prompt(question: Column | str, system: str = "", answer: Column | str | None = None) -> Column:
+    """System text, question and, for training, the answer, in labelled paragraphs."""
+    parts = [F.lit(system)] if system else []
+    parts.append(F.concat(F.lit("Question:\n"), clean(question)))
+    parts.append(F.concat(F.lit("Answer:\n"), clean(answer)) if answer is not None else F.lit("Answer:\n"))
+    return F.concat_ws("\n\n", *parts)
+
+
+def checkpoint_number(path: Column | str) -> Column:
+    """The number at the end of a checkpoint's name, for ordering."""
+    return F.regexp_extract(col(path), r"(\d+)/?$", 1).try_cast("long")

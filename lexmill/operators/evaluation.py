@@ -124,3 +124,9 @@ def union_tagged(parts: dict[str, DataFrame], tag: str) -> DataFrame:
     """All rows with the name of the part they come from; missing columns are null."""
     tagged = [df.withColumn(tag, F.lit(name)) for name, df in parts.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+
+
+def training_curves(log: DataFrame, run: str) -> DataFrame:
+    """(run, step, metric, value) from a log of steps with loss, eval_loss and learning_rate."""
+    each = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("loss", "eval_loss", "learning_rate")))
+    return log.select(run, "step", F.explode(each).alias("x")).select(run, "step", "x.metric", "x.value").where("value is not null")

@@ -88,3 +88,32 @@ def residual(df: DataFrame, text: Column, entities: tuple[str, ...] = tuple(ENTI
     n = counts(text, [ENTITY_PATTERNS[e] for e in entities])
     sums = [F.coalesce(F.sum(n[ENTITY_PATTERNS[e]]), F.lit(0)).alias(e) for e in entities]
     return df.agg(*sums).select(F.explode(F.create_map(*(x for e in entities for x in (F.lit(e), F.col(e))))).alias("entity", "n"))
+
+
+# The patterns of the quick controls.
+CONTROL_PATTERNS = {
+    "email": PATTERNS["email"],
+    "phone": r"(?<!\d)(?:\+?\d[\d .()-]{7,}\d)(?!\d)",
+    "url": r"https?://\S+|www\.\S+",
+    "french_phone": r"(?<!\d)(?:\+33|0)[1-9](?:[\s.-]?\d{2}){4}(?!\d)",
+    "date": r"(?<!\d)(?:0?[1-9]|[12]\d|3[01])/(?:0?[1-9]|1[0-2])/(?:19|20)\d{2}(?!\d)",
+}
+
+
+def control_findings(df: DataFrame, key: str, text: Column, names: tuple[str, ...] = ("email", "phone", "url")) -> DataFrame:
+    """(key, type): one row for each control pattern that occurs; text may be a record as JSON."""
+    found = F.array(*(F.when(F.coalesce(text, F.lit("")).rlike(CONTROL_PATTERNS[n]), F.lit(n)) for n in names))
+    return df.select(key, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("type"))
+
+
+def first_contexts(df: DataFrame, key: str, text: str, pattern: str = "email", around: int = 150) -> DataFrame:
+    """(key, match, context): each match with what surrounds its first occurrence in the text."""
+    hits = df.select(key, text, F.explode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(PATTERNS[pattern]), 0)).alias("match"))
+    at = F.instr(F.col(text), F.col("match"))
+    start = F.greatest(at - around, F.lit(1))
+    return hits.select(key, "match", F.substr(F.col(text), start, at - start + F.length("match") + around).alias("context"))
+
+
+def anonymised_messages(messages: Column, strategy: str = "replace") -> Column:
+    """Contents anonymised, roles kept."""
+    return F.transform(messages, lambda m: m.withField("content", anonymised(m["content"], strategy)))

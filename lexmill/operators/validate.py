@@ -78,3 +78,48 @@ def changed_fields(before: DataFrame, after: DataFrame, key: str, fields: list[s
         lambda x: x.isNotNull(),
     )
     return both.select(key, F.explode(changed).alias("field"))
+
+
+def quality_rules(confidence: Column, validated: Column) -> dict[str, Column]:
+    """Confidence missing or between 0 and 1, validated stated."""
+    return {"confidence_range": confidence.isNull() | confidence.between(0, 1), "validated_stated": validated.isNotNull()}
+
+
+def kind_rules(raw: Column, kinds: dict[str, str]) -> dict[str, Column]:
+    """The JSON value at each top-level key has the stated kind (as in STRING, BOOLEAN, ARRAY, OBJECT); absent fails."""
+    value = F.try_parse_json(raw)
+    out = {}
+    for name, kind in kinds.items():
+        found = F.schema_of_variant(F.try_variant_get(value, f"$.{name}", "variant"))
+        out[f"{name}_is_{kind.lower()}"] = F.coalesce(found.startswith(kind), F.lit(False))
+    return out
+
+
+def training_rules(messages: Column, roles: tuple[str, ...] = ("user", "assistant", "system")) -> dict[str, Column]:
+    """A conversation that can be trained on."""
+    return {
+        "messages_missing": F.coalesce(F.size(messages), F.lit(0)) > 0,
+        "role_unknown": F.forall(messages, lambda m: m["role"].isin(*roles)),
+        "content_blank": F.forall(messages, lambda m: clean(m["content"]) != ""),
+    }
+
+
+def preference_rules(prompt: Column, chosen: Column, rejected: Column) -> dict[str, Column]:
+    """A prompt and two complete, different answers."""
+    return {"prompt_blank": clean(prompt) != "", "chosen_blank": clean(chosen) != "", "rejected_blank": clean(rejected) != "", "equal_answers": clean(chosen) != clean(rejected)}
+
+
+def require_valid(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
+    """`df`; the query fails at the first row that breaks a rule, and names it."""
+    broken = drop_reason({name: ~F.coalesce(ok, F.lit(False)) for name, ok in rules.items()})
+    message = F.concat(F.lit("row "), F.col(key).cast("string"), F.lit(": "), broken)
+    return df.withColumn(key, F.when(broken == "usable", F.col(key)).otherwise(F.raise_error(message)))
+
+
+def require_schema(df: DataFrame, ddl: str) -> DataFrame:
+    """`df`, or an error if its names or types differ from the stated ones."""
+    want = df.sparkSession.createDataFrame([], ddl).schema
+    plain = lambda s: sorted((f.name, f.dataType.simpleString()) for f in s.fields)
+    if plain(df.schema) != plain(want):
+        raise ValueError(f"schema {plain(df.schema)} instead of {plain(want)}")
+    return df

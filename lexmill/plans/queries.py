@@ -726,3 +726,94 @@ def masked_lengths(spark, d):
 @query("select unnest(['EMAIL', 'URL', 'IP', 'PHONE']) as entity, 0::bigint as n")
 def pii_residual(spark, d):
     return personal.residual(docs(spark, d), personal.anonymised(F.col("text")))
+
+
+# ---- further rules, lookups and renderings
+
+
+@query("""select event_id, try_cast(floor(value) as int) as as_int, coalesce(nullif(json_extract_string(props, '$.nothing'), ''), nullif(json_extract_string(props, '$.page'), '')) as page,
+    try_cast(json_extract_string(props, '$.ref') as double) as ref_number from events""")
+def safe_values(spark, d):
+    e = table(spark, d, "events")
+    return e.select(
+        "event_id", T.safe_number(F.floor("value"), "int").alias("as_int"), T.json_paths("props", "nothing", "page").alias("page"),
+        T.safe_number(F.get_json_object("props", "$.ref"), "double").alias("ref_number"),
+    )
+
+
+@query(r"""select doc_id, concat('Be exact.', chr(10), chr(10), 'Question:', chr(10), trim(regexp_replace(source, '\s+', ' ', 'g')), chr(10), chr(10), 'Answer:', chr(10),
+    trim(regexp_replace(text, '\s+', ' ', 'g'))) as prompt from documents""")
+def prompt_render(spark, d):
+    return docs(spark, d).select("doc_id", T.question_prompt("source", "Be exact.", "text").alias("prompt"))
+
+
+@query("""with l as (select conv_id, last(text order by turn) as prediction from conversations group by conv_id)
+    select l.conv_id, l.prediction, f.text as reference from l join conversations f on f.conv_id = l.conv_id and f.turn = (select min(turn) from conversations c where c.conv_id = l.conv_id)""")
+def prediction_lookup(spark, d):
+    from lexmill.operators import joins
+
+    turns = table(spark, d, "conversations")
+    first = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("reference"))
+    return joins.lookup(first, turns.select("conv_id", "turn", F.col("text").alias("prediction")), "conv_id", F.col("turn")).select("conv_id", "prediction", "reference")
+
+
+@query("""with t as (select conv_id, turn, text, row_number() over (partition by conv_id order by turn) as a, row_number() over (partition by conv_id order by turn desc) as z from conversations)
+    select x.conv_id, x.text as first_value, y.text as second_value from t x join t y on x.conv_id = y.conv_id and x.a = 1 and y.z = 1 where trim(x.text) <> trim(y.text)""")
+def differing_predictions(spark, d):
+    from lexmill.operators import joins
+
+    turns = table(spark, d, "conversations")
+    first = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    last = turns.groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
+    return joins.differing(turns.select("conv_id").distinct(), first, last, "conv_id", "text")
+
+
+@query("""with p as (select page_id, case when regexp_matches(url, 'https?://\\S+|www\\.\\S+') then 'url' end as u, case when regexp_matches(html, '(?i)\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}\\b') then 'email' end as e from pages)
+    select page_id, 'url' as type from p where u is not null union all select page_id, 'email' from p where e is not null""")
+def control_findings(spark, d):
+    pages = table(spark, d, "pages")
+    return personal.control_findings(pages, "page_id", F.to_json(F.struct("url", "html")), ("email", "url"))
+
+
+@query(rf"""with m as (select doc_id, text, unnest(regexp_extract_all(text, '(?i){_EMAIL}')) as match from documents), s as (select *, instr(text, match) as p from m)
+    select doc_id, match, substr(text, greatest(p - 150, 1), p - greatest(p - 150, 1) + length(match) + 150) as context from s""")
+def email_contexts(spark, d):
+    return personal.first_contexts(docs(spark, d), "doc_id", "text")
+
+
+@query("""select 'a' as run, unnest([10, 10, 20, 20]) as step, unnest(['loss', 'learning_rate', 'eval_loss', 'learning_rate']) as metric, unnest([0.9, 0.1, 0.7, 0.05])::double as value""")
+def training_curves(spark, d):
+    log = spark.createDataFrame([("a", 10, 0.9, None, 0.1), ("a", 20, None, 0.7, 0.05)], "run string, step int, loss double, eval_loss double, learning_rate double")
+    return evaluation.training_curves(log, "run")
+
+
+@query("select * from (values (1, 'checkpoint-1000', 1000), (2, 'out/checkpoint-20/', 20), (3, 'final', null)) t(id, path, number)")
+def checkpoint_numbers(spark, d):
+    df = spark.createDataFrame([(1, "checkpoint-1000"), (2, "out/checkpoint-20/"), (3, "final")], "id int, path string")
+    return df.withColumn("number", T.checkpoint_number("path"))
+
+
+@query(f"""with {_CONV}, b as (select conv_id, [case when len(messages) = 0 then 'messages_missing' end,
+      case when len(list_filter(messages, lambda x: x.role not in ('user', 'assistant'))) > 0 then 'role_unknown' end,
+      case when len(list_filter(messages, lambda x: trim(x.content) = '')) > 0 then 'content_blank' end] as e from m)
+    select * from (select conv_id, unnest(e) as rule from b) where rule is not null""")
+def training_rows(spark, d):
+    return validate.errors(conversations(spark, d), "conv_id", validate.training_rules(F.col("messages"), ("user", "assistant")))
+
+
+@query("""select * from (values (2, 'confidence_range'), (3, 'validated_stated'), (3, 'tags_is_array')) t(id, rule)""")
+def record_shapes(spark, d):
+    rows = [(1, 0.5, True, '{"tags": []}'), (2, 1.5, False, '{"tags": ["a"]}'), (3, None, None, '{"tags": "a"}')]
+    df = spark.createDataFrame(rows, "id int, confidence double, validated boolean, raw string")
+    return validate.errors(df, "id", validate.quality_rules(F.col("confidence"), F.col("validated")) | validate.kind_rules(F.col("raw"), {"tags": "ARRAY"}))
+
+
+@query("""select doc_id from documents d where not (source <> 'src1' or lang = 'en')""")
+def source_language_conflicts(spark, d):
+    rule = validate.source_language_rule(F.col("source"), F.col("lang"), {"src1": "en"})
+    return validate.errors(docs(spark, d), "doc_id", {"language": rule}).select("doc_id")
+
+
+@query("""select d.doc_id from documents d join (select source, min(doc_id) as f from documents group by source) s using (source) where d.doc_id > f""")
+def repeated_ids(spark, d):
+    return validate.repeated_ids(docs(spark, d), "source", "doc_id").select("doc_id")

@@ -38,7 +38,9 @@ def json_lines_strict(spark: SparkSession, path: str | list[str], schema: Struct
     """Rows (ord, row); the query fails with the line if one isn't a JSON object."""
     parsed = lines(spark, path).withColumn("kind", F.schema_of_variant(F.try_parse_json("raw")))
     good = F.coalesce(F.col("kind").startswith("OBJECT"), F.lit(False))
-    row = F.when(good, F.from_json("raw", schema)).otherwise(F.raise_error(F.concat(F.lit("no JSON object: "), F.substring("raw", 1, 200))))
+    line = F.col("ord.line").bitwiseAND(F.lit(2**33 - 1)) + 1  # of the block that one task reads
+    where = F.concat_ws(" ", F.lit("no JSON object in"), "ord.file", F.lit("from byte"), "ord.block", F.lit("line"), line)
+    row = F.when(good, F.from_json("raw", schema)).otherwise(F.raise_error(F.concat(where, F.lit(": "), F.substring("raw", 1, 200))))
     return parsed.select("ord", row.alias("row"))
 
 
@@ -131,6 +133,17 @@ def write_once(df: DataFrame, path: str, force: bool = False) -> bool:
     return True
 
 
+def write_incrementally(df: DataFrame, path: str, key: str, batches: int) -> int:
+    """JSON lines in batches dealt by the key's hash; batches that an earlier run finished are left out. How many it wrote."""
+    wrote = 0
+    for k in range(batches):
+        part = f"{path}/batch={k}"
+        if not existing(df.sparkSession, [f"{part}/_SUCCESS"]):
+            write_json_lines(df.where(F.pmod(F.xxhash64(key), F.lit(batches)) == k), part)
+            wrote += 1
+    return wrote
+
+
 def report(df: DataFrame, most_rows: int = 1000) -> str:
     """A small result as indented JSON; more rows are an error, not cut off."""
     rows = df.limit(most_rows + 1).collect()

@@ -110,10 +110,13 @@ def test_json_lines(spark, tmp_path):
     good, bad = records.json_lines(spark, str(tmp_path / "a.jsonl"), "id string, choices map<string,string>, source string")
     assert [(r.row.id, r.row.choices, r.row.source) for r in good.orderBy("ord").collect()] == [("1", {}, None), ("2", None, "s")]
     assert [r.raw for r in bad.orderBy("ord").collect()] == ["not json", "[1, 2]"]
-    with pytest.raises(Exception, match="no JSON object"):
+    with pytest.raises(Exception, match="no JSON object in .*a.jsonl from byte 0 line 3: not json"):
         records.json_lines_strict(spark, str(tmp_path / "a.jsonl"), "id string").collect()
     out = str(tmp_path / "out")
     assert records.write_once(good.select("row.*"), out) and not records.write_once(good.select("row.*"), out)
+    again = str(tmp_path / "batches")
+    assert [records.write_incrementally(good.select("row.*"), again, "id", 3) for _ in range(2)] == [3, 0]
+    assert spark.read.json(again).count() == 2
     assert '"choices":null' in "".join(r.value for r in spark.read.text(out).collect())
     assert records.first_existing(spark, [str(tmp_path / "none"), out]) == out
     (tmp_path / "b.json").write_text(json.dumps([{"id": "é"}, {"id": "2"}]))

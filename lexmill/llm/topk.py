@@ -14,7 +14,8 @@ Queries and vectors meet in cells of a grid of blocks: every query block with
 every shard, each cell bounded in size, k candidates a query from each. Vectors
 that are null or hold a null or non-finite component take no part; a shorter
 vector counts as padded with zeros. Equal scores go to the smaller id. Repeated
-rows count as often as they occur, each excluded from its own id's result.
+rows are one query, and candidates as often as they occur; a query's own id is
+never in its result.
 Empty tables give no rows; further columns are not read.
 """
 
@@ -131,7 +132,7 @@ def top_k(
 
     cells = lambda name, i, j: F.explode(F.sequence(F.lit(0), F.lit(i - 1))).alias(name)
     hashed = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
-    queries = vecs.where(F.col("id") % every == 0).select("id", "vec", hashed(n_blocks).alias("j"), cells("i", shards, 0))
+    queries = vecs.where(F.col("id") % every == 0).dropDuplicates(["id"]).select("id", "vec", hashed(n_blocks).alias("j"), cells("i", shards, 0))
     others = vecs.select("id", "vec", hashed(shards).alias("i"), cells("j", n_blocks, 0))
     found = queries.groupBy("i", "j").cogroup(others.groupBy("i", "j")).applyInPandas(cell, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -36,8 +36,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line, or are within an edit of one, go; documents stay."""
-    return line_dedup.dedup_lines(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Lines that repeat an earlier line, or are within an edit of one, go; so do documents of which nothing is left."""
+    left = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    left = left.where((F.col("n_lines_removed") == 0) | F.col("text").rlike(r"\S"))
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

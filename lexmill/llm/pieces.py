@@ -173,20 +173,25 @@ class PieceModel:
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Symbols of each text, by agenda."""
         out: list = [None] * len(texts)
-        rows: dict[int, list[int]] = {}
-        for k, s in enumerate(texts):
-            if len(s) > ROW_CHARS or "\0" in s or not s:
-                out[k] = self.agenda(s)
-            else:
-                rows.setdefault((len(s) + 3) // 4, []).append(k)
-        for ks in rows.values():
-            for at in range(0, len(ks), 1 << 15):
-                some = ks[at : at + (1 << 15)]
-                points = self.matrix([texts[k] for k in some])
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        odd = (sizes > ROW_CHARS) | (sizes == 0)
+        odd |= np.fromiter(("\0" in s for s in texts), bool, len(texts))
+        for k in np.flatnonzero(odd).tolist():
+            out[k] = self.agenda(texts[k])
+        rows = np.flatnonzero(~odd)
+        rows = rows[np.argsort(sizes[rows], kind="stable")]
+        width = (sizes[rows] + 3) // 4
+        for some in np.split(rows, np.flatnonzero(np.diff(width)) + 1):
+            for at in range(0, len(some), 1 << 15):
+                ks = some[at : at + (1 << 15)].tolist()
+                points = self.matrix([texts[k] for k in ks])
                 merged = self.rows(np.where(points > 0, self.char[points], -1))
-                counts = (merged >= 0).sum(1).tolist()
-                for k, m, n in zip(some, merged.tolist(), counts, strict=True):
-                    out[k] = m[:n]
+                counts = (merged >= 0).sum(1)
+                order = np.argsort(counts, kind="stable")
+                for part in np.split(order, np.flatnonzero(np.diff(counts[order])) + 1):  # rows of one length are lists as they are
+                    if len(part):
+                        for k, m in zip(part.tolist(), merged[part, : counts[part[0]]].tolist(), strict=True):
+                            out[ks[k]] = m
         return out
 
     def by_library(self, chunks: list[str]) -> list[list[int]]:

@@ -23,7 +23,7 @@ from lexmill.llm.common import small_batches
 from lexmill.llm.pieces import SPACE, PieceModel, chunks, loaded, model_bytes
 
 #: Chunks whose codes a Python worker keeps, and the longest of them.
-KEPT_CHUNKS, KEPT_CHARS = 350_000, 64
+KEPT_CHUNKS, KEPT_CHARS = 250_000, 64
 
 
 def decode(model: PieceModel, ids: list[int]) -> str:
@@ -44,11 +44,13 @@ def decode(model: PieceModel, ids: list[int]) -> str:
 
 
 class Codec:
-    """Codes of chunks: ids as text, number of ids, decoded text."""
+    """Codes of chunks: ids as text, and decoded text."""
 
     def __init__(self, model: PieceModel) -> None:
-        self.model, self.ids, self.count, self.back = model, {}, {}, {}
+        self.model, self.ids, self.back = model, {}, {}
+        #: Chunks met in several groups, and those of the last group among them.
         self.again: set[str] = set()
+        self.recent: set[str] = set()
         self.first_other = max(model.byte_of) + 1 if min(model.index.values()) > max(model.byte_of) else model.n
 
     def learn(self, new: list[str]) -> None:
@@ -58,21 +60,18 @@ class Codec:
         if own != right:
             own = right
         self.ids.update(zip(new, [",".join([text[i] for i in ids]) for ids in own], strict=True))
-        self.count.update(zip(new, map(len, own), strict=True))
         plain = self.first_other
         self.back.update(zip(new, [
             "".join([pieces[i] for i in ids]).replace(SPACE, " ") if min(ids) >= plain
             else decode(model, [model.index[SPACE], *ids]) for ids in own], strict=True))
 
-    def trim(self) -> None:
-        """Forget the chunks that were met in one group only; all, if the others are too many."""
-        if len(self.ids) > KEPT_CHUNKS:
+    def trim(self, most: int = KEPT_CHUNKS) -> None:
+        """Beyond `most`, forget the chunks that were met in one group only; if the others are too many, all but the last group's."""
+        if len(self.ids) > most:
             if len(self.again) > KEPT_CHUNKS // 2:
-                self.again.clear()
-            for d in (self.ids, self.count, self.back):
-                kept = {c: d[c] for c in self.again}
-                d.clear()
-                d.update(kept)
+                self.again = set(self.recent)
+            self.ids = {c: self.ids[c] for c in self.again}
+            self.back = {c: self.back[c] for c in self.again}
 
 
 _codecs: dict[int, Codec] = {}
@@ -90,27 +89,29 @@ def encode_batches(batches: Iterator[pa.RecordBatch], proto: bytes, text_col: st
             t = next(texts).as_py() or ""
             group.append(chunks(t))
             size += len(t)
-            if size > 1 << 20 or k == len(col) - 1:
+            if size > 2 << 20 or k == len(col) - 1:
                 _encode_group(codec, group, rows)
                 group, size = [], 0
         keep = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != text_col]
         names = [n for n in batch.schema.names if n != text_col]
         types = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
         yield pa.RecordBatch.from_arrays(keep + [pa.array(v, types.get(n, pa.string())) for n, v in rows.items()], names + list(rows))
+    codec.trim(KEPT_CHUNKS // 4)  # the worker may go on with other work
 
 
 def _encode_group(codec: Codec, group: list[list[str]], rows: dict) -> None:
     codec.trim()
     met = set().union(*group)
     new = met.difference(codec.ids)
-    codec.again.update(met - new)
+    codec.recent = {c for c in met - new if len(c) <= KEPT_CHARS}
+    codec.again |= codec.recent
     new = list(new)
     codec.learn(new)
     for parts in group:
         ids = ",".join(map(codec.ids.__getitem__, parts))
         back = "".join(map(codec.back.__getitem__, parts))
         back = back[1:] if back[:1] == " " else back
-        rows["n_tokens"].append(sum(map(codec.count.__getitem__, parts)))
+        rows["n_tokens"].append(ids.count(",") + 1 if ids else 0)
         rows["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
         rows["decoded_sha256"].append(hashlib.sha256(back.encode()).hexdigest())
         if "ids" in rows:
@@ -118,8 +119,7 @@ def _encode_group(codec: Codec, group: list[list[str]], rows: dict) -> None:
             rows["decoded"].append(back)
     for c in new:
         if len(c) > KEPT_CHARS:
-            codec.again.discard(c)
-            for d in (codec.ids, codec.count, codec.back):
+            for d in (codec.ids, codec.back):
                 d.pop(c, None)
 
 

@@ -20,7 +20,6 @@ Empty tables give no rows or no hits. Further columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +33,8 @@ from lexmill.llm.common import cut, small_batches
 #: [^\x00-\x2F\x3A-\x60\x7B-\x7F] after lower-casing A-Z
 WORD_BYTES = byte_class((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 SIZE = 10
-#: Windows of a share: about 100 bytes each in every task.
-SHARE_WINDOWS = 400_000
+#: Windows of a share: about 100 bytes each in every task, some more on the driver while it is built.
+SHARE_WINDOWS = 200_000
 
 
 def _words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -206,6 +205,3 @@ def contamination_digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
     )
 
-
-def digest(values: list[str]) -> str:
-    return hashlib.sha256(",".join(values).encode()).hexdigest()

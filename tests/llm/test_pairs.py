@@ -169,3 +169,8 @@ def test_suffix_arrays():
         for i, j in zip(sa[1:].tolist(), sa[:-1].tolist(), strict=True):
             c = next((c for c in range(n) if max(i, j) + c >= n or t[i + c] != t[j + c]), n)
             assert (lcp[i], before[i]) == (c, j)
+
+
+def test_ngram_join_of_rows_without_id(spark):
+    out = ngram_join.near_duplicates(frame(spark, [(None, "a b c d", "", "", 0), (None, "a b c d", "", "", 0), (4, "a b c d", "", "", 0), (4, "a b c d", "", "", 0)]), 3, 90, 100)
+    assert sorted((x.doc_id is None, x.n_shingles, x.component_id) for x in out.collect()) == [(False, 2, 4)] * 2 + [(True, 2, 4)] * 2

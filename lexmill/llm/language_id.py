@@ -41,6 +41,7 @@ BUCKETS = 1 << 15
 TEMPER, RELIABLE, HINT, NOISE = 0.25, 0.85, 2.0, 1e-4
 #: Pseudo-counts of each level of the host prior.
 SMOOTH = 5.0
+HOT_SHARE, SALTS = 500, 64
 
 _FOLD = LOWER.copy()
 _FOLD[: ord("a")] = 32
@@ -151,7 +152,15 @@ def identify(
         {"__domain": F.regexp_extract("__host", r"([^.]+\.[^.]+)$", 1), "__suffix": F.regexp_extract("__host", r"([^.]+)$", 1)}
     )
     hosts = hosts.join(counts["__domain"], "__domain", "left").join(counts["__suffix"], "__suffix", "left")
-    full = seen.drop("__domain", "__suffix").join(hosts.drop("__domain", "__suffix"), "__host", "left")
+    # hosts with over a HOT_SHARE-th of the rows, at most HOT_SHARE of them, are dealt over SALTS tasks
+    hosts = cut(hosts.drop("__domain", "__suffix"))
+    votes_of = F.aggregate("__host_n", F.lit(0.0), lambda s, x: s + x)
+    hot = F.broadcast(hosts.where(votes_of * HOT_SHARE > float(sum(every))).select("__host", F.lit(True).alias("__hot")))
+    salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    hosts = hosts.join(hot, "__host", "left").withColumn("__salt", F.explode(salts)).drop("__hot")
+    salted = seen.drop("__domain", "__suffix").join(hot, "__host", "left")
+    salted = salted.withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).otherwise(0))
+    full = salted.join(hosts, ["__host", "__salt"], "left")
     own = F.array(*(F.when(F.col("__by_text") == c, 1.0).otherwise(0.0) for c in range(len(CLASSES))))
 
     def smoothed(n: str, above: Column) -> Column:

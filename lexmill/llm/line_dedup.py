@@ -24,7 +24,6 @@ n_lines_removed.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -192,7 +191,8 @@ def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     small_batches(df.sparkSession)
     src = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     lines = cut(src.mapInArrow(lambda it: _lines(it, min_chars), "h long, key long, pos int, n int, halves array<long>"))
-    first = lines.groupBy("h").agg(F.min(F.struct("key", "pos")).alias("at"))
+    # written, so that joins on it can split the rows of a very frequent line
+    first = cut(lines.groupBy("h").agg(F.min(F.struct("key", "pos")).alias("at")))
 
     half = lines.where(F.size("halves") > 0).select("h", "n", F.posexplode("halves").alias("k", "half"))
     half = half.select("half", "h", (F.col("n") * 4 + F.col("k")).alias("nk"))
@@ -241,6 +241,3 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_char
     schema = full.drop("__gone").schema.add("n_lines", "long").add("n_lines_removed", "long")
     return full.mapInArrow(lambda it: _kept(it, names, text), schema)
 
-
-def text_digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

@@ -10,7 +10,7 @@ the class, the counts give the bucket within it.
 Everything is gathered on the cluster: each task sends its counts, and after
 each round the parameters that it has trained on its documents, entry by entry,
 to aggregations keyed by bucket or entry, whose results have a fixed size.
-Every document takes part in training with every TRAIN_EVERY-th token; rounds
+Every token of every document is a target of training in each round; rounds
 average the tasks' parameters by their number of tokens.
 
 Null, empty and blank texts have no tokens and the score 0. Repeated rows count
@@ -35,7 +35,7 @@ from lexmill.llm.common import small_batches
 WORD_BYTES = byte_class((0x20, 0x20), (0x09, 0x0D))
 BUCKET_BITS, CLASSES, OWN_CLASS = 18, 96, 64
 OFFSETS = (-2, -1, 1, 2)
-HIDDEN, TRAIN_EVERY, ROUNDS, BATCH = 32, 16, 2, 256
+HIDDEN, ROUNDS, BATCH = 32, 2, 1024
 _CHUNK = 4096
 
 
@@ -91,27 +91,49 @@ class Network:
             out[a : a + _CHUNK] = own - np.log(np.exp(z, out=z).sum(1))
         return out
 
-    def train(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
-        """One pass of Adagrad in batches."""
-        square = {k: np.full_like(v, 1e-4) for k, v in self.p.items()}
-        for a in range(0, len(target), BATCH):
-            c, y = context[a : a + BATCH], target[a : a + BATCH]
-            h = self.hidden(c)
-            z = h @ self.p["O"] + self.p["o"]
-            z = np.exp(z - z.max(1, keepdims=True))
-            z /= z.sum(1, keepdims=True)
-            z[np.arange(len(y)), y] -= 1
-            z /= len(y)
-            dh = (z @ self.p["O"].T) * (1 - h * h)
-            g = {"O": h.T @ z, "o": z.sum(0), "b": dh.sum(0), "E": np.zeros_like(self.p["E"])}
-            hot = np.zeros((CLASSES + 1, len(y)), np.float32)
-            for k in range(len(OFFSETS)):
-                hot[:] = 0
-                hot[c[:, k], np.arange(len(y))] = 1
-                g["E"][k] = hot @ dh
-            for k, q in g.items():
-                square[k] += q * q
-                self.p[k] -= rate * q / np.sqrt(square[k])
+    def train(self, line: np.ndarray, rate: float) -> int:
+        """One pass of Adagrad over all tokens of a line of documents, in batches; returns their number."""
+        shapes = list(self.SHAPES.items())
+        cuts = np.cumsum([int(np.prod(s)) for _, s in shapes])[:-1]
+        flat = self.flat()
+        self.p = {k: v.reshape(s) for (k, s), v in zip(shapes, np.split(flat, cuts), strict=True)}  # views of flat
+        square, g = np.full_like(flat, 1e-4), np.empty_like(flat)
+        part = {k: v.reshape(s) for (k, s), v in zip(shapes, np.split(g, cuts), strict=True)}
+        reach, done = max(OFFSETS), 0
+        for a in range(reach, len(line) - reach, BATCH):
+            b = min(a + BATCH, len(line) - reach)
+            y = line[a:b]
+            real = np.flatnonzero(y != CLASSES)  # borders are neighbours, not targets
+            if not len(real):
+                continue
+            done += len(real)
+            h = self.p["E"][0][line[a + OFFSETS[0] : b + OFFSETS[0]]]
+            for k in range(1, len(OFFSETS)):
+                h += self.p["E"][k][line[a + OFFSETS[k] : b + OFFSETS[k]]]
+            h += self.p["b"]
+            np.tanh(h, out=h)
+            z = h @ self.p["O"]
+            z += self.p["o"]
+            if float(np.abs(z).max()) > 60:
+                z -= z.max(1, keepdims=True)
+            np.exp(z, out=z)
+            scale = np.zeros(b - a, np.float32)
+            scale[real] = 1 / len(real)
+            z *= (scale / z.sum(1))[:, None]
+            z[real, y[real]] -= scale[real]
+            dh = z @ self.p["O"].T
+            dh *= 1 - h * h
+            np.matmul(h.T, z, out=part["O"])
+            z.sum(0, out=part["o"])
+            dh.sum(0, out=part["b"])
+            # one indicator of the batch's places and their neighbours serves all offsets
+            hot = np.zeros((b - a + 2 * reach, CLASSES + 1), np.float32)
+            hot[np.arange(len(hot)), line[a - reach : b + reach]] = 1
+            for k, o in enumerate(OFFSETS):
+                np.matmul(hot[reach + o : reach + o + b - a].T, dh, out=part["E"][k])
+            square += g * g
+            flat -= rate * g / np.sqrt(square)
+        return done
 
 
 def _buckets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -120,12 +142,18 @@ def _buckets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield (w >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), at
 
 
-def contexts(cls: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Classes of each token's neighbours within its document."""
+def lined(cls: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents' classes in one line with two borders before, between and after them; places of the tokens."""
     size = np.diff(at)
     place = np.arange(len(cls)) + 2 * (np.repeat(np.arange(len(size)), size) + 1)
     line = np.full(len(cls) + 2 * (len(size) + 1), CLASSES, np.int64)
     line[place] = cls
+    return line, place
+
+
+def contexts(cls: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Classes of each token's neighbours within its document."""
+    line, place = lined(cls, at)
     return np.stack([line[place + k] for k in OFFSETS], 1)
 
 
@@ -142,12 +170,7 @@ def _train(batches: Iterator[pa.RecordBatch], vocabulary, flat, rate: float) ->
     net, cls_of, n = Network(flat.value), vocabulary.value.cls, 0
     for batch in batches:
         for bucket, at in _buckets(batch.column(0)):
-            cls = cls_of[bucket].astype(np.int64)
-            # each document by its own count of tokens
-            own = np.arange(len(cls)) - np.repeat(at[:-1], np.diff(at))
-            some = np.flatnonzero(own % TRAIN_EVERY == TRAIN_EVERY // 2)
-            net.train(contexts(cls, at)[some], cls[some], rate)
-            n += len(some)
+            n += net.train(lined(cls_of[bucket].astype(np.int64), at)[0], rate)
     if n:
         values = net.flat().astype(np.float64)
         yield pa.RecordBatch.from_arrays(

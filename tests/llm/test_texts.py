@@ -232,6 +232,16 @@ def test_lm_prefers_order(spark):
     assert got[1] > got[2] + 0.5
 
 
+def test_lm_trains_on_every_token(spark):
+    texts = ["alpha", "alpha beta", "alpha beta gamma delta", "one two three four five six seven eight", "beta " * 40]
+    words, net = lm_score.fit(frame(spark, [(k, t, "", "", 0) for k, t in enumerate(texts[:4])]), rounds=1)
+    first = lm_score.Network()
+    assert (net.p["E"][:, lm_score.CLASSES] != first.p["E"][:, lm_score.CLASSES]).any(1).all()
+    column = __import__("pyarrow").array(texts, "string")
+    for bucket, at in lm_score._buckets(column):
+        assert first.train(lm_score.lined(words.cls[bucket].astype(np.int64), at)[0], 0.05) == sum(len(t.split()) for t in texts)
+
+
 def search_by_hand(vectors, every, k, width=None):
     good = {i: np.floor(64 * np.array(v, float)) for i, v in vectors if v is not None and None not in v and np.isfinite(np.array(v, float)).all()}
     width = max((len(v) for v in good.values()), default=0)

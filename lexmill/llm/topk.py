@@ -69,7 +69,8 @@ def _exact_type(q: np.ndarray, v: np.ndarray) -> type:
 def search(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query rows, vector rows and scores of each query's k best in this shard, and ties of the last."""
     kind = _exact_type(q, v)
-    qf, n, need = q.astype(kind), len(v_ids), k + 1  # one more, for a query's own row
+    qf, n, need = q.astype(kind), len(v_ids), k
+    own = np.nonzero(q_ids[:, None] == v_ids[None, :])  # all of a query's own rows, however often stored
     size = np.abs(v)
     partial = np.zeros((len(q), n), kind)
     limit = None
@@ -87,8 +88,11 @@ def search(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, k
         if n <= 4 * need:
             continue
         slack = np.sqrt((rest**2).sum(1))[:, None] * norm[None, :] * (1 + 1e-9) + 1e-6
-        kth = np.partition(partial - slack, n - need, axis=1)[:, n - need]
+        least = partial - slack
+        least[own] = -np.inf
+        kth = np.partition(least, n - need, axis=1)[:, n - need]
         possible = partial + slack >= kth[:, None]
+        possible[own] = False
         if possible.sum(1).max() <= max(4 * need, n // 16):
             limit = possible
             break
@@ -98,13 +102,14 @@ def search(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, k
     else:
         exact = partial if kind is not np.int64 else q @ v.T
         if n > need:
+            exact[own] = np.iinfo(np.int64).min if kind is np.int64 else -np.inf
             kth = np.partition(exact, n - need, axis=1)[:, n - need]
             row, col = np.nonzero(exact >= kth[:, None])
         else:
             row, col = np.divmod(np.arange(len(q) * n), max(n, 1))
+        other = q_ids[row] != v_ids[col]
+        row, col = row[other], col[other]
         score = exact[row, col].astype(np.int64)
-    own = q_ids[row] != v_ids[col]
-    row, col, score = row[own], col[own], score[own]
     order = np.lexsort((v_ids[col], -score, row))
     row, col, score = row[order], col[order], score[order]
     first = np.searchsorted(row, np.arange(len(q)))

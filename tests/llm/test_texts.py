@@ -262,3 +262,29 @@ def test_top_k(spark, shard, block, scale):
     got = {(x.query_id, x["rank"], x.vec_id, x.score) for x in topk.top_k(df, every=20, k=7, shard=shard, block=block).collect()}
     assert got == search_by_hand(vectors, 20, 7)
     assert topk.top_k(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("shard", "scale"), [(8192, 1), (60, 1), (8192, 3e6)])
+def test_top_k_of_repeated_queries(spark, shard, scale):
+    r = random.Random(8)
+    vectors = [(k, [scale * r.gauss(0, 0.2) for _ in range(8)]) for k in range(1, 200)]
+    vectors += [(0, [scale * 2.0] * 8)] * 25 + [vectors[19]] * 3
+    rows = [(i, [int(x) for x in np.floor(64 * np.array(v))]) for i, v in vectors]
+    want = []
+    for q in range(0, 200, 20):
+        own = next(v for i, v in rows if i == q)
+        best = sorted((-sum(a * b for a, b in zip(v, own, strict=True)), i) for i, v in rows if i != q)[:7]
+        want += [(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    got = [(x.query_id, x["rank"], x.vec_id, x.score) for x in topk.top_k(df, every=20, k=7, shard=shard).collect()]
+    assert sorted(got) == want
+
+
+def test_search_by_proof_leaves_own_rows_out():
+    r = np.random.default_rng(3)
+    v = np.concatenate([np.zeros((5000, 8), np.int64), r.integers(32, 60, (40, 8)), np.full((30, 8), 99)])
+    v[:5000, 0] = 1
+    ids = np.concatenate([np.arange(1, 5041), np.zeros(30, np.int64)])
+    row, col, score = topk.search(np.array([0]), np.full((1, 8), 99), ids, v, 20)
+    want = sorted(((-int(x.sum()) * 99, i) for i, x in zip(ids, v, strict=True) if i))[:20]
+    assert [(-s, i) for s, i in zip(score.tolist(), ids[col].tolist(), strict=True)] == want

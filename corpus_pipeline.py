@@ -2,9 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of `docs` and returns
 a DataFrame; all but the last return the columns of `documents`. Rows are taken
-out by anti-joins on the ids a stage decides against, so clean documents pass
-untouched. Null texts have no language and go in the first stage; an empty
-table stays empty; rows without an id are kept and not compared.
+out by anti-joins on the rows a stage decides against, so clean documents pass
+untouched. Language, near copies and contamination are decided row by row: where
+an id occurs more than once, its rows get keys of their own for the stage. Null
+texts have no language and go in the first stage; an empty table stays empty;
+rows without an id are kept and not compared.
 """
 
 from __future__ import annotations
@@ -18,20 +20,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import decontaminate, language_id, line_dedup, ngram_join, sentencepieces
-from lexmill.llm.common import cut, table
+from lexmill.llm.common import table
 from lexmill.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with `row`: the id while no id repeats, else a written number in the ids' order; null for rows without an id."""
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    if not repeated:
+        return docs.select(*COLUMNS, F.col("doc_id").alias("row"))
+    # the second column deals the rows of a frequent id over several ranges
+    placed = docs.withColumn("place", F.monotonically_increasing_id()).orderBy("doc_id", "place")
+    return stored(spark, placed.select(*COLUMNS, F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id()).alias("row")))
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of docs whose id is not listed."""
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    """Rows of keyed docs whose `row` is not listed."""
+    return docs.join(gone.select("row").distinct(), "row", "left_anti").select(*COLUMNS)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have no letter, or look like none of the languages, go."""
-    found = language_id.identify(docs, "doc_id", "text", declared=F.col("lang"), host=F.col("source"))
+    docs = keyed(spark, docs)
+    found = language_id.identify(docs, "row", "text", declared=F.col("lang"), host=F.col("source"))
     return without(docs, found.where("rejected"))
 
 
@@ -44,15 +57,15 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, similarity 0.8) the smallest id stays."""
-    found = cut(ngram_join.near_duplicates(docs, n=5, num=80, den=100))
-    repeated = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
-    left = without(docs, found.where("component_id <> doc_id"))
-    return left.dropDuplicates(["doc_id"]) if repeated else left
+    docs = keyed(spark, docs)
+    found = ngram_join.near_duplicates(docs.where("row is not null"), n=5, num=80, den=100, key="row")
+    return without(docs, found.where("component_id <> row"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    docs = keyed(spark, docs)
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), key="row")
     return without(docs, found.where(F.size("spans") > 0))
 
 

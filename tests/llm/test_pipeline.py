@@ -45,6 +45,33 @@ def test_pipeline(spark, tmp_path):
     assert whole == {tuple(r) for r in docs.collect()}
 
 
+def test_rows_of_repeated_and_missing_ids(spark, tmp_path):
+    r = __import__("random").Random(4)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(40))
+    a, b, c, d, e = (text() for _ in range(5))
+    near = a + " tail"
+    ids = [(None, c), (None, d), (None, c), (None, a), (1, a), (1, b), (2, near), (2, e), (3, d), (3, d), (5, near)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in ids]
+    spark.createDataFrame([(1, " ".join(e.split()[3:16]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    left = lambda df: sorted(((x.doc_id, x.text) for x in df.collect()), key=key)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    # the near copy of 1's first text goes, the other text of 2 stays; rows without an id all stay
+    want = [(None, c), (None, d), (None, c), (None, a), (1, a), (1, b), (2, e), (3, d)]
+    assert left(corpus_pipeline.drop_near_copies(spark, docs, "")) == sorted(want, key=key)
+    want = [x for x in ids if x != (2, e)]
+    assert left(corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))) == sorted(want, key=key)
+    docs = spark.createDataFrame([*rows, (1, "!!! 123", "en", "s", 7)], SCHEMA)
+    assert left(corpus_pipeline.identify_language(spark, docs, "")) == sorted(ids, key=key)
+
+
+def test_rows_without_id_link_nothing(spark):
+    w = [f"w{k}" for k in range(100)]
+    texts = {7: w, None: [*w[:91], *(f"x{k}" for k in range(9))], 8: [*w[:82], *(f"x{k}" for k in range(18))]}
+    rows = [(i, " ".join(t), "en", "s", 1) for i, t in texts.items()]
+    assert corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA), "").count() == 3
+
+
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))

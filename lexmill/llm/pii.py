@@ -5,10 +5,12 @@ and without overlap per kind over the whole text. A bidirectional LSTM with CRF
 transitions, trained here in numpy on labelled spans, adds spans of the same
 kinds in other spellings (a phone without a plus, spaced or bracketed parts). A
 span of any kind holds a digit or an at sign, so the tagger reads exactly the
-windows that hold one; windows overlap by half. Each is decoded by itself; over
-the whole text the decoded spans are then reconciled: of overlapping ones the
-set of the largest total score stays, spans cut off by a window's border give
-way to the neighbour window's, and base spans always stay.
+windows that hold one; windows overlap by half. Each is decoded by itself. Spans
+cut off by a window's border give way to the neighbour window's; those that no
+window holds whole are joined and decoded again in a window around them, which
+grows until its border cuts none of them. Over the whole text the decoded spans
+are then reconciled: of overlapping ones the set of the largest total score
+stays, and base spans always stay.
 
 Null and empty texts have no spans. Rows are independent: repeated rows give
 repeated results, an empty table gives an empty one, further columns are not
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -331,6 +334,51 @@ def reconcile(found: list[tuple[int, int, int, float]]) -> list[tuple[int, int,
     return out[::-1]
 
 
+def _regions(pieces: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Pieces that overlap or touch, joined."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(pieces):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def closed_spans(tagger: Tagger, texts: list[str], pieces: dict[int, list[tuple[int, int]]]) -> dict[int, list[tuple[int, int, int, float]]]:
+    """Spans that meet the pieces of each text, decoded in windows that grow until they hold them whole."""
+    found: dict[int, list[tuple[int, int, int, float]]] = {}
+    while pieces:
+        sized: dict[int, list[tuple[int, int, int, int]]] = {}
+        for t, some in pieces.items():
+            for a, b in _regions(some):
+                start = max(0, a - max(STRIDE, b - a))
+                size = -(-(b + max(STRIDE, b - a) - start) // WINDOW) * WINDOW
+                sized.setdefault(size, []).append((t, start, a, b))
+        pieces, coded = {}, {}
+        for size, some in sized.items():
+            step = max(1, 512 * WINDOW // size)
+            for at in range(0, len(some), step):
+                part = some[at : at + step]
+                x = np.zeros((len(part), size), np.int8)
+                for row, (t, start, _, _) in zip(x, part, strict=True):
+                    if t not in coded:
+                        coded = {t: classes(texts[t])}
+                    own = coded[t][start : start + size]
+                    row[: len(own)] = own
+                tags, lead = tagger.decode(x)
+                for (t, start, a, b), tag, score in zip(part, tags, lead, strict=True):
+                    end = min(size, len(texts[t]) - start)
+                    for kind, i, j, sum_ in spans_of(tag[:end], score[:end]):
+                        if start + i >= b or start + j <= a:
+                            continue
+                        if (i == 0 and start) or (j == end and start + j < len(texts[t])):
+                            pieces.setdefault(t, []).append((min(a, start + i), max(b, start + j)))
+                        else:
+                            found.setdefault(t, []).append((kind, start + i, start + j, sum_))
+    return found
+
+
 def added_spans(tagger: Tagger, texts: list[str], bases: list[list[Span]]) -> list[list[Span]]:
     """What the tagger adds to the base spans of each text."""
     where: list[tuple[int, int]] = []
@@ -338,6 +386,7 @@ def added_spans(tagger: Tagger, texts: list[str], bases: list[list[Span]]) -> li
         grid = {g for m in _TRIGGER.finditer(text) for g in (m.start() // STRIDE, m.start() // STRIDE - 1)}
         where += [(t, g * STRIDE) for g in sorted(grid) if g >= 0 or len(text) <= 0]
     found: dict[int, list[tuple[int, int, int, float]]] = {}
+    cut: dict[int, list[tuple[int, int, int]]] = {}
     coded: dict[int, np.ndarray] = {}
     for at in range(0, len(where), 512):
         some = where[at : at + 512]
@@ -351,10 +400,22 @@ def added_spans(tagger: Tagger, texts: list[str], bases: list[list[Span]]) -> li
         for k in np.flatnonzero(tags.any(1)).tolist():
             t, start = some[k]
             for kind, a, b, score in spans_of(tags[k], lead[k]):
-                # cut off at a border: the neighbour window holds it whole
-                if (a == 0 and start) or (b == WINDOW and start + b < len(texts[t])) or start + b > len(texts[t]):
+                if start + b > len(texts[t]):
+                    continue
+                if (a == 0 and start) or (b == WINDOW and start + b < len(texts[t])):
+                    cut.setdefault(t, []).append((kind, start + a, start + b))
                     continue
                 found.setdefault(t, []).append((kind, start + a, start + b, score))
+    # cut off at a border, and not held whole by a neighbour window
+    pieces: dict[int, list[tuple[int, int]]] = {}
+    for t, some in cut.items():
+        whole = sorted((a, b, kind) for kind, a, b, _ in found.get(t, []))
+        for kind, a, b in some:
+            k = bisect_right(whole, (a, len(texts[t]) + 1, len(KINDS)))
+            if not any(y >= b and kind == z for _, y, z in whole[max(0, k - WINDOW) : k]):
+                pieces.setdefault(t, []).append((a, b))
+    for t, some in closed_spans(tagger, texts, pieces).items():
+        found.setdefault(t, []).extend(some)
     out: list[list[Span]] = [[] for _ in texts]
     for t, some in found.items():
         taken = sorted((a, b) for _, a, b in bases[t])

@@ -166,6 +166,24 @@ def test_reconcile():
     assert pii.reconcile([(0, 0, 5, 1.0), (1, 4, 9, 3.0), (0, 9, 12, 1.0), (0, 9, 12, 1.0)]) == [(1, 4, 9), (0, 9, 12)]
 
 
+class LineTagger:
+    """Takes each line, up to 64 characters or more, for an e-mail."""
+
+    def decode(self, x):
+        inside = (x != 0) & (x != 5)
+        first = inside & ~np.pad(inside, ((0, 0), (1, 0)))[:, :-1]
+        return np.where(first, 1, np.where(inside, 2, 0)), inside.astype(np.float32)
+
+
+@pytest.mark.parametrize("mail", ["firstname.lastname_01 (@) department-name . org", "a" * 90 + " (@) " + "b" * 150 + " . org", "a (@) b . org"])
+def test_spans_longer_than_a_window_holds(mail):
+    for off in range(70):
+        for after in ("", "\n" * 80, "\nx"):
+            text = "\n" * off + mail + after
+            assert pii.added_spans(LineTagger(), [text], [[]]) == [[("email", off, off + len(mail))]]
+    assert len(pii.added_spans(LineTagger(), ["1" * 30000 + "\n" + mail], [[]])[0]) == 1
+
+
 TEXTS = {"en": "the house of the man and the river that was with them", "fr": "la maison de la femme et le chat dans les rues pour elle", "de": "das haus und der mann mit die frau auf dem weg ist nicht", "es": "la casa del hombre que con los perros por una calle muy"}
 
 

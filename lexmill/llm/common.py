@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.session import cut, table
 
-__all__ = ["cut", "table", "small_batches", "components"]
+__all__ = ["cut", "table", "small_batches", "whole_runs", "looked_up", "components"]
 
 #: Rows of an Arrow batch of whole documents; bounds a Python worker's memory.
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
@@ -19,6 +23,45 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of whole runs of rows that agree in the first k columns, with the runs' starts; the rows come in order."""
+    left = None
+    for batch in batches:
+        if left is not None:
+            batch = pa.concat_batches([left, batch])
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows, bool)
+        change[0] = True
+        for c in batch.columns[:k]:
+            x = c.to_numpy(zero_copy_only=False)
+            change[1:] |= x[1:] != x[:-1]
+        starts = np.flatnonzero(change)
+        if len(starts) > 1:
+            yield batch.slice(0, starts[-1]), starts[:-1]
+        left = batch.slice(starts[-1])
+    if left is not None:
+        yield left, np.zeros(1, np.int64)
+
+
+#: Bits of the filter in looked_up; its broadcast has at most one row for 64 of them.
+FILTER_BITS = 1 << 24
+
+
+def looked_up(src: DataFrame, wanted: DataFrame, on: str) -> DataFrame:
+    """`src` joined with `wanted` on a column of longs.
+
+    Most rows that `wanted` lacks are left out before the shuffle by a bit
+    filter, whose broadcast is bounded by FILTER_BITS / 64 rows whatever the
+    size of `wanted`; the more is wanted, the more rows pass the filter.
+    """
+    wanted = cut(wanted)
+    place = F.pmod(F.xxhash64(F.col(on)), F.lit(FILTER_BITS))
+    bits = wanted.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("bits"))
+    passed = src.withColumns({"place": place, "word": F.shiftright(place, 6)}).join(F.broadcast(bits), "word")
+    return passed.where("bit_get(bits, cast(place & 63 as int)) = 1").drop("place", "word", "bits").join(wanted, on)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Smallest node reachable from each node: (node, component) of undirected edges (a, b).
 

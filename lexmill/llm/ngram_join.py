@@ -5,23 +5,24 @@ make one shingle of the whole sequence, no words an empty set that is linked
 with nothing. Sets are equal as texts of words are: equal sets are one class.
 
 1. Tokens (shingles) are hashed into groups. Two linked sets differ in at most
-   d shingles, so of more than d filled groups at least one is equal in both:
-   the hash of (size level, group, contents) brings any two linked sets
-   together, and hardly any others. Sets with too few filled groups also send
-   their empty ones, which keeps this exact at every size.
-2. Within a bucket the sets are points: count vectors, tokens per group, of a
-   length that follows the set's size and can be folded to a shorter one. Two
-   sets share at most the sum of the smaller counts. First each bucket's members
-   are gathered around leaders within this bound, one candidate a member; what
-   the sets verify becomes components, so that groups of copies are never
-   expanded into pairs.
-3. Buckets that still hold several components get an R-tree over the count
-   vectors. The overlap of anything below two nodes is at most the sum of the
-   smaller upper limits; node pairs that can't reach the needed overlap, or lie
-   in one component, are left out. Buckets of many members are dealt out in
-   block pairs. All remaining pairs that pass the bound are verified.
+   d shingles, so of any d + 1 filled groups one is equal in both: each set goes
+   to the trees named by (size level, group, contents) of its first d + 1 filled
+   groups, and any two linked sets meet in a tree. Trees of the same members are
+   one; a tree of many members is dealt out in blocks.
+2. The members of a tree are points: count vectors, tokens per group, of a length
+   that follows the set's size and can be folded to a shorter one. Two sets share
+   at most the sum of the smaller counts. An R-tree over the points bounds the
+   overlap of anything below two nodes by the smaller upper limits; node pairs
+   that can't reach the needed overlap, or lie in one component, are left out. A
+   task gives only a spanning forest of what passes, never the pairs of a group.
+3. The forest's edges are verified on the sets: first one edge a member, then
+   those that still connect two components. Where an edge of a tree fails, the
+   tree is done again on the sets themselves, each surviving pair verified.
+4. Trees of several blocks that hold several components after that are treated
+   alike over every two blocks.
 Components come from star contraction on the cluster. Ties go to the smallest
-id; repeated rows are copies; null, empty and blank texts have empty sets; a
+id; repeated rows are copies; null, empty and blank texts have empty sets; rows
+without an id take part, and a class of such rows alone has no component id; a
 text of any length is used whole; an empty table gives no rows; columns other
 than the key and the text are not read.
 """
@@ -36,16 +37,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.bytescan import LOWER, U64, blocks, byte_class, mix, word_hashes
-from lexmill.llm.common import components, cut, small_batches
+from lexmill.llm.common import components, cut, looked_up, small_batches, whole_runs
 
 #: [^\x20\x09-\x0D]
 WORD_BYTES = byte_class((0x20, 0x20), (0x09, 0x0D))
 #: Fewest coordinates of a count vector, and tokens per coordinate otherwise.
-DIMS, PER_DIM = 32, 5
-#: Ids up to which texts are looked up with a broadcast (16 bytes each), else with a shuffle.
-LOOKUP_IDS = 100_000
-#: Members of a block of a large bucket, and of an R-tree's leaf and inner node.
-BUCKET_BLOCK, LEAF, FANOUT = 4096, 32, 8
+DIMS, PER_DIM = 16, 2
+#: Members of a tree's block, and their tokens (sets of so many tokens fit a worker).
+BLOCK_ROWS, BLOCK_TOKENS = 2048, 1 << 22
+#: Members of an R-tree's leaf and inner node.
+LEAF, FANOUT = 32, 8
+#: Members of a star that are verified in one task.
+STAR = 1024
+#: A tree with this share of all rows at least is dealt over tasks before it is gathered; one row in SEEN is looked at.
+HOT_SHARE, SEEN = 1 / 200, 64
 _MULT = np.random.default_rng(7).integers(1, 2**63, 64, dtype=U64) | U64(1)
 _LEVELS = np.unique(np.floor(1.6 ** np.arange(0, 88)).astype(np.int64))
 
@@ -74,7 +79,7 @@ def set_id(own: np.ndarray) -> int:
 
 
 def keys(own: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Bucket keys of a set at similarity num/den."""
+    """Names of a set's trees at similarity num/den; the lowest seven bits are the size level."""
     n = len(own)
     out = []
     first, last = np.searchsorted(_LEVELS, n), np.searchsorted(_LEVELS, n * den // num)
@@ -85,29 +90,41 @@ def keys(own: np.ndarray, num: int, den: int) -> np.ndarray:
         groups = differ + 1 + (differ + 9) // 10
         limits = np.searchsorted((own >> U64(32)) * U64(groups) >> U64(32), np.arange(groups + 1, dtype=U64))
         total = running[limits[1:]] - running[limits[:-1]]
-        filled = limits[1:] > limits[:-1]
         name = np.arange(groups, dtype=U64) * _MULT[43] + _MULT[44:45] * U64(level)
-        key = mix(total + name)
-        out.append(key[filled] if filled.sum() > differ else key)
+        key = mix(total + name) & ~U64(127) | U64(level)
+        # of two linked sets' first differ + 1 filled groups one is common; a set with fewer sends its empty ones too
+        filled = np.flatnonzero(limits[1:] > limits[:-1])
+        out.append(key[filled[: differ + 1]] if len(filled) > differ else key)
     return np.concatenate(out)
 
 
-def count_vector(own: np.ndarray) -> np.ndarray:
-    """Counts of a set's tokens in a power of two of groups, one byte each."""
+def block_size(level: np.ndarray, rows: int, tokens: int) -> np.ndarray:
+    """Members of a block in trees of these size levels."""
+    return np.clip(tokens // _LEVELS[level], 4, rows)
+
+
+def count_vector(own: np.ndarray) -> bytes:
+    """Counts of a set's tokens in a power of two of groups: half a byte each, behind a 0, or four bytes behind a 1."""
     dims = DIMS
-    while dims * PER_DIM < len(own):
+    while dims * PER_DIM < len(own) and dims < 1 << 16:
         dims *= 2
     counts = np.bincount((own & U64(dims - 1)).astype(np.int64), minlength=dims)
-    # a count beyond a byte makes all of them the largest: such a vector rules nothing out
-    return counts.astype(np.uint8) if counts.max(initial=0) < 255 else np.full(dims, 255, np.uint8)
+    if counts.max() > 15:
+        return b"\1" + counts.astype(np.uint32).tobytes()
+    return b"\0" + (counts[::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
 
 
 def folded(vectors: list[bytes]) -> np.ndarray:
-    """Vectors as rows of the length of the shortest."""
-    width = min(map(len, vectors))
-    if all(len(v) == width for v in vectors):
-        return np.frombuffer(b"".join(vectors), np.uint8).reshape(-1, width)
-    return np.array([np.frombuffer(v, np.uint8).reshape(-1, width).sum(0, dtype=np.int32) for v in vectors])
+    """Count vectors as rows of the length of the shortest."""
+    if all(v[:1] == b"\0" for v in vectors) and len({*map(len, vectors)}) == 1:
+        packed = np.frombuffer(b"".join(vectors), np.uint8).reshape(len(vectors), -1)[:, 1:]
+        return np.stack([packed & 15, packed >> 4], -1).reshape(len(vectors), -1)
+    counts = []
+    for v in vectors:
+        packed = np.frombuffer(v, np.uint8, offset=1)
+        counts.append(packed.view(np.uint32) if v[0] else np.stack([packed & 15, packed >> 4], -1).ravel())
+    width = min(map(len, counts))
+    return np.array([c.reshape(-1, width).sum(0, dtype=np.int32) for c in counts])
 
 
 def can_link(x: np.ndarray, nx, y: np.ndarray, ny, num: int, den: int):
@@ -117,10 +134,10 @@ def can_link(x: np.ndarray, nx, y: np.ndarray, ny, num: int, den: int):
 
 def _ids(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [(len(s), set_id(s) if len(s) else None, count_vector(s).tobytes() if len(s) else None) for s in shingle_sets(batch.column(1), n)]
+        sets = [(len(s), set_id(s) if len(s) else None, count_vector(s) if len(s) else None) for s in shingle_sets(batch.column(2), n)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array([s[k] for s in sets], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary())))],
-            ["key", "n", "sid", "vector"],
+            [*batch.columns[:2], *(pa.array([s[k] for s in sets], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary())))],
+            ["key", "text_id", "n", "sid", "vector"],
         )
 
 
@@ -136,32 +153,66 @@ def _keys(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iter
                 out.append(keys(own, num, den).view(np.int64))
         size = np.array(list(map(len, out)), np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)), pa.array(np.repeat(np.array(ids, np.int64), size))], ["bucket", "sid"]
+            [pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)), pa.array(np.repeat(np.array(ids, np.int64), size))], ["tree", "sid"]
+        )
+
+
+def _members(batches: Iterator[pa.RecordBatch], rows: int, tokens: int) -> Iterator[pa.RecordBatch]:
+    """Members (tree, block, blocks, sid) of trees that hold two sets or more, from rows (tree, block, blocks, sid) in order.
+
+    Trees not dealt out before (blocks 0) are named by their members, so that trees of the same members become equal rows.
+    """
+    for batch, starts in whole_runs(batches, 2):
+        tree, block, blocks, sid = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        run = np.zeros(len(sid), np.int64)
+        run[starts[1:]] = 1
+        run = np.cumsum(run)
+        new = np.concatenate([[True], (sid[1:] != sid[:-1]) | (run[1:] != run[:-1])])
+        tree, block, blocks, sid, run = (x[new] for x in (tree, block, blocks, sid, run))
+        count = np.bincount(run)
+        starts = np.concatenate([[0], np.cumsum(count)[:-1]])
+        name = mix(np.add.reduceat(mix(sid.view(U64) + _MULT[45]), starts) + count.astype(U64) * _MULT[46])
+        own = blocks[starts] > 0
+        size = block_size((tree[starts] & 127).astype(np.int64), rows, tokens)
+        into = np.where(own, blocks[starts], -(-count // size)).astype(np.int32)
+        # the tree's name is part of the draw, so that other sets meet in the blocks of another tree
+        drawn = (mix(sid.view(U64) ^ name[run]) % into[run].astype(U64)).astype(np.int32)
+        keep = (count > 1)[run] | own[run]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x[keep]) for x in (np.where(own[run], tree, name.view(np.int64)[run]), np.where(own[run], block, drawn), into[run], sid)],
+            ["tree", "block", "blocks", "sid"],
         )
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """The set of each row (text, sid, others) whose text has it, as (others, sid, set)."""
     for batch in batches:
-        ids, sets = [], []
-        for wanted, own in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), n), strict=True):
-            if len(own) and set_id(own) == wanted:
-                ids.append(wanted), sets.append(own.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["sid", "set"])
+        wanted = batch.column(1).to_pylist()
+        sets = [own.tobytes() if len(own) and set_id(own) == sid else None for sid, own in zip(wanted, shingle_sets(batch.column(0), n), strict=True)]
+        sets = pa.array(sets, pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[2:], batch.column(1), sets], [*batch.schema.names[2:], "sid", "set"]).filter(sets.is_valid())
+
+
+def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sets are linked."""
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return den * common >= num * (len(x) + len(y) - common)
 
 
 def _verified(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Of rows a, b, set_a, set_b those that are linked."""
+    """Linked pairs (a, b) of rows (a, part, later, sid, set) in order: each star's centre, then its other ends."""
+    centre, star = None, None
     for batch in batches:
-        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-            both = np.sort(np.concatenate([x, y]), kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            keep.append(den * common >= num * (len(x) + len(y) - common))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([v for v, k in zip(c, keep, strict=True) if k], pa.int64()) for c in (a, b)], ["a", "b"]
-        )
+        out = []
+        a, part, later, sid = (c.to_pylist() for c in batch.columns[:4])
+        for k, x in enumerate(batch.column(4)):
+            own = np.frombuffer(x.as_buffer(), U64)
+            if not later[k]:
+                centre, star = own, (a[k], part[k])
+            elif star == (a[k], part[k]) and similar(centre, own, num, den):
+                out.append((a[k], sid[k]))
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 class CountTree:
@@ -207,123 +258,172 @@ class CountTree:
             yield self.order[i[i < j]], self.order[j[i < j]]
 
 
-def all_pairs(vectors: np.ndarray, sizes: np.ndarray, group: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of different components that pass the bound; few rows are one leaf."""
-    if len(sizes) > 2 * LEAF:
-        found = [*CountTree(vectors, sizes, group).pairs(num, den), (np.zeros(0, np.int64),) * 2]
-        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-        return i, j
+class Forest:
+    """Joins the points of a tree into components, and keeps the edges that did."""
+
+    def __init__(self, group: np.ndarray) -> None:
+        self.label, self.edges = group.copy(), []
+
+    def join(self, i: np.ndarray, j: np.ndarray, good=None) -> None:
+        """Take those of the pairs that join two components (and are good)."""
+        apart = self.label[i] != self.label[j]
+        for a, b in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
+            p, q = self.label[a], self.label[b]
+            if p != q and (good is None or good(a, b)):
+                self.label[self.label == q] = p
+                self.edges.append((a, b))
+
+
+def forest(vectors: np.ndarray, sizes: np.ndarray, group: np.ndarray, num: int, den: int, good=None, block=None) -> np.ndarray:
+    """Edges (rows of two) of a spanning forest over the pairs of different components that can be linked (and are good).
+
+    With blocks, only pairs of different blocks count.
+    """
+    out = Forest(group)
+    found = CountTree(vectors, sizes, group).pairs(num, den) if len(sizes) > 2 * LEAF else [_few(vectors, sizes, num, den)]
+    if block is None:  # most members are near the first one, or near another after it
+        left = np.arange(len(sizes))
+        for _ in range(16):
+            if len(left) < 3:
+                break
+            lead, left = left[:1], left[1:]
+            near = can_link(vectors[left], sizes[left], vectors[lead], sizes[lead], num, den)
+            out.join(np.repeat(lead, int(near.sum())), left[near], good)
+            left = left[~near]
+    for i, j in found:
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        if block is not None:
+            across = block[i] != block[j]
+            i, j = i[across], j[across]
+        order = np.lexsort((j, i))
+        out.join(i[order], j[order], good)
+    return np.array(out.edges, np.int64).reshape(-1, 2)
+
+
+def _few(vectors: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the rows of one leaf that can be linked."""
     i, j = np.triu_indices(len(sizes), 1)
-    good = group[i] != group[j]
-    i, j = i[good], j[good]
-    good = can_link(vectors[i], sizes[i], vectors[j], sizes[j], num, den)
-    return i[good], j[good]
-
-
-def led_pairs(vectors: np.ndarray, sizes: np.ndarray, num: int, den: int, leaders: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Each row with the first leader within the bound; rows that have none become leaders in turn."""
-    left, out = np.arange(len(sizes)), []
-    for _ in range(leaders):
-        if len(left) < 2:
-            break
-        lead, rest = left[0], left[1:]
-        good = can_link(vectors[rest], sizes[rest], vectors[lead], sizes[lead], num, den)
-        out.append((np.full(int(good.sum()), lead), rest[good]))
-        left = rest[~good]
-    out.append((np.zeros(0, np.int64),) * 2)
-    i, j = (np.concatenate(x) for x in zip(*out, strict=True))
-    return i, j
-
-
-def _bucket_pairs(batches: Iterator[pa.RecordBatch], num: int, den: int, leading: bool) -> Iterator[pa.RecordBatch]:
-    """Candidates of each run of rows of one (bucket, lo, hi); rows come sorted by these and the set."""
-    held: list = []
-    name = None
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    seen: set[tuple[int, int]] = set()
-
-    def flush() -> None:
-        if len(held) == 2:  # most buckets; the same two sets often meet in several
-            two = (held[0][0], held[1][0])
-            if two in seen:
-                return
-            if len(seen) < 500_000:
-                seen.add(two)
-        sid, comp, sizes, block = (np.array([h[k] for h in held], np.int64) for k in (0, 1, 2, 4))
-        vectors = folded([h[3] for h in held])
-        if leading:
-            i, j = led_pairs(vectors, sizes, num, den)
-        else:
-            i, j = all_pairs(vectors, sizes, comp, num, den)
-        if name[1] != name[2]:  # a pair within a block belongs to the block's own task
-            good = block[i] != block[j]
-            i, j = i[good], j[good]
-        if len(i):
-            out.append((np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])))
-
-    def emit() -> pa.RecordBatch:
-        pairs = np.unique(np.array([np.concatenate(x) for x in zip(*out, strict=True)]), axis=1)
-        out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+    near = can_link(vectors[i], sizes[i], vectors[j], sizes[j], num, den)
+    return i[near], j[near]
+
+
+def _forests(batches: Iterator[pa.RecordBatch], num: int, den: int, exact: bool) -> Iterator[pa.RecordBatch]:
+    """Forest edges (tree, lo, hi, a, b) of rows (tree, lo, hi, block, comp, n, sid, vector or, if exact, set) in order."""
+    for batch, starts in whole_runs(batches, 3):
+        tree, lo, hi, block, comp, sizes, sid = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:7])
+        ends, out = [*starts[1:].tolist(), len(sid)], []
+        for s, e in zip(starts.tolist(), ends, strict=True):
+            if e - s < 2:
+                continue
+            held = batch.column(7).slice(s, e - s).to_pylist()
+            good = None
+            if exact:
+                sets = [np.frombuffer(x, U64) for x in held]
+                held = [count_vector(x) for x in sets]
+                good = lambda i, j: similar(sets[i], sets[j], num, den)  # noqa: B023, E731
+            _, group = np.unique(comp[s:e], return_inverse=True)
+            edges = forest(folded(held), sizes[s:e], group, num, den, good, block[s:e] if lo[s] != hi[s] else None)
+            if len(edges):
+                out.append((s, s + edges))
+        rows = np.concatenate([np.repeat(s, len(x)) for s, x in out]) if out else np.zeros(0, np.int64)
+        ends = sid[np.concatenate([x for _, x in out])] if out else np.zeros((0, 2), np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x) for x in (tree[rows], lo[rows], hi[rows], ends.min(1, initial=2**63 - 1), ends.max(1, initial=-(2**63)))], ["tree", "lo", "hi", "a", "b"]
+        )
 
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:3] != name:
-                if len(held) > 1:
-                    flush()
-                    if len(out) > 5000:
-                        yield emit()
-                held, name = [], row[:3]
-            held.append(row[3:])
-    if len(held) > 1:
-        flush()
-    if out:
-        yield emit()
-
-
-def _links(pairs: DataFrame, classes: DataFrame, src: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Of candidate pairs (a, b) those whose sets are linked."""
-    pairs = cut(pairs)
-    needed = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    needed = cut(needed.join(classes.select("sid", "key"), "sid"))
-    wanted = F.broadcast(needed) if needed.count() <= LOOKUP_IDS else needed
-    sets = src.join(wanted, "key").select("sid", "text").mapInArrow(lambda it: _sets(it, n), "sid long, set binary")
-    sets = cut(sets.dropDuplicates(["sid"]))
-    full = pairs.join(sets.select(F.col("sid").alias("a"), F.col("set").alias("set_a")), "a").join(
-        sets.select(F.col("sid").alias("b"), F.col("set").alias("set_b")), "b"
-    )
-    return cut(full.select("a", "b", "set_a", "set_b").mapInArrow(lambda it: _verified(it, num, den), "a long, b long"))
-
-
-def _candidates(rows: DataFrame, classes: DataFrame, num: int, den: int, leading: bool) -> DataFrame:
-    """Candidate pairs (a, b) of bucket rows (bucket, sid, comp)."""
-    own = Window.partitionBy("bucket")
-    blocked = rows.withColumn("blocks", F.ceil(F.count("*").over(own) / BUCKET_BLOCK).cast("int"))
-    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    # around leaders each block is taken by itself; all pairs need every two blocks
-    other = F.array("block") if leading else F.sequence(F.lit(0), F.col("blocks") - 1)
-    blocked = blocked.withColumn("other", F.explode(other))
-    dealt = blocked.join(classes.select("sid", "n", "vector"), "sid").select(
-        "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "sid", "comp", "n", "vector", "block"
-    )
-    dealt = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "sid")
-    return dealt.mapInArrow(lambda it: _bucket_pairs(it, num, den, leading), "a long, b long")
-
-
-def _rejoined(joined: DataFrame, links: DataFrame) -> DataFrame:
-    """Components (node, component) after further links."""
-    if not links.limit(1).count():
-        return joined
-    ends = links.select(F.col("a").alias("x")).union(links.select(F.col("b").alias("x"))).distinct()
-    ends = cut(ends.join(joined, F.col("x") == F.col("node"), "left").select("x", F.coalesce("component", "x").alias("c")))
-    top = components(
-        links.join(ends.select(F.col("x").alias("a"), F.col("c").alias("ca")), "a")
-        .join(ends.select(F.col("x").alias("b"), F.col("c").alias("cb")), "b")
-        .select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    )
-    both = joined.select("node", "component").union(ends.where("x = c").select(F.col("x").alias("node"), F.col("c").alias("component"))).distinct()
-    moved = both.join(top.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
-    return cut(moved.select("node", F.coalesce("to", "component").alias("component")))
+
+class _Join:
+    """The parts of one join: texts, classes of equal sets, and the components found so far."""
+
+    def __init__(self, src: DataFrame, n: int, num: int, den: int) -> None:
+        self.src, self.n, self.num, self.den = src, n, num, den
+        self.ids = cut(src.mapInArrow(lambda it: _ids(it, n), "key long, text_id long, n long, sid long, vector binary"))
+        one = F.min(F.struct(F.col("key").isNull().alias("no"), "key", "text_id")).alias("one")
+        classes = self.ids.where("sid is not null").groupBy("sid").agg(one, F.first("n").alias("n"), F.first("vector").alias("vector"))
+        self.classes = cut(classes.select("sid", "one.key", "one.text_id", "n", "vector"))
+        self.joined = src.sparkSession.createDataFrame([], "node long, component long")
+
+    def members(self) -> DataFrame:
+        """(tree, block, blocks, sid) of all trees of two or more sets."""
+        n, num, den, rows, tokens = self.n, self.num, self.den, BLOCK_ROWS, BLOCK_TOKENS
+        sent = lambda texts: texts.select("text").mapInArrow(lambda it: _keys(it, n, num, den), "tree long, sid long")
+        some = self.src.where(F.pmod("text_id", F.lit(SEEN)) == 0).dropDuplicates(["text_id"])
+        least = max(SEEN, int(self.ids.count() / SEEN * HOT_SHARE))
+        level = F.element_at(F.array(*(F.lit(int(x)) for x in block_size(np.arange(len(_LEVELS)), rows, tokens))), (F.col("tree").bitwiseAND(127) + 1).cast("int"))
+        # few: at most 1 / HOT_SHARE of them for every key that a row has on average
+        counted = sent(some).groupBy("tree").count().where(F.col("count") >= least)
+        hot = cut(counted.select("tree", F.greatest(F.lit(2), F.ceil(F.col("count") * SEEN / level)).cast("int").alias("blocks")))
+        dealt = sent(self.src).join(F.broadcast(hot), "tree", "left").select(
+            "tree", F.coalesce(F.pmod(F.xxhash64("sid", "tree"), F.col("blocks")).cast("int"), F.lit(0)).alias("block"), F.coalesce("blocks", F.lit(0)).alias("blocks"), "sid"
+        )
+        dealt = dealt.repartition("tree", "block").sortWithinPartitions("tree", "block", "sid")
+        return cut(dealt.mapInArrow(lambda it: _members(it, rows, tokens), "tree long, block int, blocks int, sid long").distinct())
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """Rows with the component of their sid."""
+        return rows.join(self.joined, F.col("sid") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "sid")).drop("node", "component")
+
+    def apart(self, edges: DataFrame) -> DataFrame:
+        """Edges whose ends are not in one component."""
+        for end in ("a", "b"):
+            edges = edges.join(self.joined.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
+        return edges.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
+
+    def with_sets(self, rows: DataFrame, columns: str) -> DataFrame:
+        """The rows (sid and `columns`) with the sets, read from one text of each class."""
+        n = self.n
+        rows = rows.join(self.classes.select("sid", F.col("key").alias("own"), "text_id"), "sid")
+        found = looked_up(self.src, rows, "text_id").where(F.col("key").eqNullSafe(F.col("own")))
+        names = [c.split()[0] for c in columns.split(", ")]
+        return found.select("text", "sid", *names).mapInArrow(lambda it: _sets(it, n), f"{columns}, sid long, set binary")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b) those whose sets are linked; stars of many ends are dealt over tasks."""
+        num, den = self.num, self.den
+        pairs = cut(pairs)
+        stars = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts")))
+        ends = pairs.join(stars, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("later"), F.col("b").alias("sid"))
+        centres = stars.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("later"), F.col("a").alias("sid"))
+        sets = self.with_sets(ends.union(centres), "a long, part int, later int")
+        sets = sets.repartition("a", "part").sortWithinPartitions("a", "part", "later", "sid")
+        return cut(sets.mapInArrow(lambda it: _verified(it, num, den), "a long, b long"))
+
+    def join(self, links: DataFrame) -> None:
+        """Take further links into the components."""
+        if not links.limit(1).count():
+            return
+        ends = links.select(F.col("a").alias("sid")).union(links.select(F.col("b").alias("sid"))).distinct()
+        ends = cut(self.labelled(ends))
+        top = components(
+            links.join(ends.select(F.col("sid").alias("a"), F.col("comp").alias("ca")), "a")
+            .join(ends.select(F.col("sid").alias("b"), F.col("comp").alias("cb")), "b")
+            .select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        )
+        both = self.joined.union(ends.where("sid = comp").select("sid", "comp")).distinct()
+        moved = both.join(top.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+        self.joined = cut(moved.select("node", F.coalesce("to", "component").alias("component")))
+
+    def forests(self, rows: DataFrame, exact: bool) -> DataFrame:
+        """Forest edges (tree, lo, hi, a, b) of rows (tree, lo, hi, block, comp, sid)."""
+        num, den = self.num, self.den
+        rows = rows.join(self.classes.select("sid", "n", "vector"), "sid").select("tree", "lo", "hi", "block", "comp", "n", "sid", "vector")
+        if exact:
+            rows = self.with_sets(rows.drop("vector"), "tree long, lo int, hi int, block int, comp long, n long")
+        rows = rows.repartition("tree", "lo", "hi").sortWithinPartitions("tree", "lo", "hi", "sid")
+        return cut(rows.mapInArrow(lambda it: _forests(it, num, den, exact), "tree long, lo int, hi int, a long, b long"))
+
+    def settle(self, rows: DataFrame) -> None:
+        """Join all linked sets that are together in a (tree, lo, hi) of rows (tree, lo, hi, block, sid)."""
+        rows = cut(rows)
+        found = self.forests(self.labelled(rows), False)
+        first = cut(found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        self.join(self.links(first))
+        rest = self.apart(found.select("a", "b").distinct()).join(first, ["a", "b"], "left_anti")
+        self.join(self.links(rest))
+        failed = cut(self.apart(found).select("tree", "lo", "hi").distinct())
+        if failed.limit(1).count():
+            again = rows.join(failed, ["tree", "lo", "hi"])
+            self.join(self.forests(self.labelled(again), True).select("a", "b").distinct())
 
 
 def near_duplicates(
@@ -331,27 +431,21 @@ def near_duplicates(
 ) -> DataFrame:
     """(key, n_shingles, component_id) of each row: sets link at a similarity of num/den or more."""
     small_batches(df.sparkSession)
-    src = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    ids = cut(src.mapInArrow(lambda it: _ids(it, n), "key long, n long, sid long, vector binary"))
-    classes = ids.where("sid is not null").groupBy("sid").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("vector").alias("vector"))
-    classes = cut(classes)
-    sent = src.select("text").mapInArrow(lambda it: _keys(it, n, num, den), "bucket long, sid long")
-    own = Window.partitionBy("bucket")
-    members = sent.withColumns({"low": F.min("sid").over(own), "high": F.max("sid").over(own)})
-    members = cut(members.where("low < high").select("bucket", "sid").distinct())
-
-    led = _candidates(members.withColumn("comp", F.col("sid")), classes, num, den, True)
-    led = led.groupBy(F.col("b")).agg(F.min("a").alias("a")).select("a", "b")
-    joined = components(_links(led, classes, src, n, num, den))
-
-    labelled = members.join(joined, F.col("sid") == F.col("node"), "left").select("bucket", "sid", F.coalesce("component", "sid").alias("comp"))
-    open_ = labelled.withColumns({"low": F.min("comp").over(own), "high": F.max("comp").over(own)}).where("low < high")
-    rest = _candidates(open_.select("bucket", "sid", "comp"), classes, num, den, False).distinct()
-    joined = _rejoined(joined, _links(rest, classes, src, n, num, den))
-
-    named = classes.join(joined, F.col("sid") == F.col("node"), "left").select("sid", "key", F.coalesce("component", "sid").alias("comp"))
+    src = df.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.col(text).cast("string")).alias("text_id"), F.col(text).cast("string").alias("text"))
+    work = _Join(src, n, num, den)
+    members = work.members()
+    work.settle(members.select("tree", F.col("block").alias("lo"), F.col("block").alias("hi"), "block", "sid"))
+
+    many = members.where("blocks > 1")
+    if many.limit(1).count():
+        open_ = work.labelled(many).groupBy("tree").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+        several = many.join(cut(open_.select("tree")), "tree").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        several = several.where("other <> block").select("tree", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "sid")
+        work.settle(several)
+
+    named = work.labelled(work.classes.select("sid", "key"))
     least = named.groupBy("comp").agg(F.min("key").alias("component_id"))
     named = named.join(least, "comp").select("sid", "component_id")
-    return ids.select("key", "n", "sid").join(named, "sid", "left").select(
+    return work.ids.select("key", "n", "sid").join(named, "sid", "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id")
     )

@@ -91,7 +91,7 @@ def test_ngram_join(spark, n, num):
 
 def test_ngram_join_of_large_groups(spark, monkeypatch):
     """Near copies that link only in chains, in buckets of several blocks and tree levels."""
-    monkeypatch.setattr(ngram_join, "BUCKET_BLOCK", 40)
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 40)
     r = random.Random(5)
     w = [f"w{k}" for k in range(120)]
     rows = []

@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 
 def keep_first(df: DataFrame, key: Column, order: str) -> DataFrame:
-    """The row with the smallest `order` (unique) of each key."""
+    """The row with the smallest `order` (unique) of each key, a null key being one.
+
+    Rows without an order can't be compared: they stay, and are nobody's first.
+    """
     first = df.select(F.sha2(key, 256).alias("__k"), F.col(order).alias("__o")).groupBy("__k").agg(F.min("__o").alias(order))
-    return df.join(first.select(order), order, "left_semi")
+    return df.where(F.col(order).isNotNull()).join(first.select(order), order, "left_semi").unionByName(df.where(F.col(order).isNull()))
 
 
 def keep_last(df: DataFrame, key: str, order: Column) -> DataFrame:
@@ -54,6 +57,16 @@ def require_distinct(df: DataFrame, record: Column) -> DataFrame:
     return df
 
 
+def require_known(df: DataFrame, key: Column, order: str, known: list[Column]) -> DataFrame:
+    """The first row of each key, or an error if keys repeat and none of them is a known one."""
+    repeated = duplicate_groups(df, key, order)
+    expected = F.array(*(F.sha2(k, 256) for k in known)) if known else F.array().cast("array<string>")
+    row = repeated.agg(F.count("*").alias("n"), F.count_if(F.array_contains(expected, F.col("key_hash"))).alias("known")).first()
+    if row["n"] and not row["known"]:
+        raise ValueError(f"{row['n']} unexpected duplicates")
+    return keep_first(df, key, order)
+
+
 def require_count(df: DataFrame, expected: int) -> DataFrame:
     if (n := df.count()) != expected:
         raise ValueError(f"{n} rows instead of {expected}")

@@ -29,8 +29,10 @@ def ranked(df: DataFrame, strata: list[str], key: str, seed: int, digits: int =
     return joined.withColumn("__rank", F.row_number().over(own) + F.col("__before")).drop("__h", "__b", "__before")
 
 
-def sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """n rows, the same ones for the same seed."""
+def sample(df: DataFrame, key: str, n: int, seed: int, strict: bool = False) -> DataFrame:
+    """n rows, the same ones for the same seed; if strict, fewer are an error."""
+    if strict and (have := df.limit(n).count()) < n:
+        raise ValueError(f"a sample of {n} from {have} rows")
     return df.orderBy(seeded(seed, key), key).limit(n)
 
 
@@ -65,8 +67,10 @@ def proportional_quotas(counts: DataFrame, label: str, size: int, ties: str = "l
 
 
 def _quota_join(df: DataFrame, quotas: DataFrame, strata: list[str], names: list[str]) -> DataFrame:
-    """Quota columns at each row; quotas has a row a stratum."""
-    return df.join(quotas.select(*strata, *names), strata)
+    """Quota columns at each row; quotas has a row a stratum, null being one."""
+    own = quotas.select(*(F.col(s).alias(f"__q_{s}") for s in strata), *(F.col(n).alias(f"__q_{n}") for n in names))
+    joined = df.join(own, [F.col(s).eqNullSafe(F.col(f"__q_{s}")) for s in strata])
+    return joined.drop(*names, *(f"__q_{s}" for s in strata)).withColumnsRenamed({f"__q_{n}": n for n in names})
 
 
 def stratified_split(df: DataFrame, strata: list[str], key: str, seed: int) -> DataFrame:
@@ -77,14 +81,25 @@ def stratified_split(df: DataFrame, strata: list[str], key: str, seed: int) -> D
     return r.withColumn("split", split.otherwise("test")).drop("__rank", "train", "validation")
 
 
+def require_complete(df: DataFrame, split: DataFrame, key: str) -> DataFrame:
+    """`split`, or an error if it isn't `df` once over: a row lost, repeated or in two splits."""
+    tally = lambda x, sign: x.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n")).select("k", (F.col("n") * sign).alias("n"))
+    uneven = tally(df, 1).union(tally(split, -1)).groupBy("k").agg(F.sum("n").alias("n")).where("n <> 0")
+    if n := uneven.count():
+        raise ValueError(f"{n} ids are not split once over")
+    twice = split.groupBy(key).agg(F.min("split").alias("a"), F.max("split").alias("b")).where("a <> b").count()
+    if twice:
+        raise ValueError(f"{twice} ids are in several splits")
+    return split
+
+
 def split_conformance(df: DataFrame, strata: list[str]) -> DataFrame:
     """(strata, split, expected, actual) of every stratum and split."""
     quotas = split_quotas(df.groupBy(*strata).agg(F.count("*").alias("n")), strata)
     expected = quotas.select(*strata, F.explode(F.create_map(*(x for s in SPLITS for x in (F.lit(s), F.col(s))))).alias("split", "expected"))
     actual = df.groupBy(*strata, "split").agg(F.count("*").alias("actual"))
-    return expected.join(actual, [*strata, "split"], "full").select(
-        *strata, "split", F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("actual", F.lit(0)).alias("actual")
-    )
+    both = expected.withColumn("actual", F.lit(0).cast("long")).union(actual.select(*strata, "split", F.lit(0).cast("long"), "actual"))
+    return both.groupBy(*strata, "split").agg(F.sum("expected").alias("expected"), F.sum("actual").alias("actual"))
 
 
 def stratified_sample(df: DataFrame, label: str, key: str, size: int, seed: int) -> DataFrame:

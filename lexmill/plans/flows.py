@@ -35,11 +35,12 @@ def instruction_corpus(parts: dict[str, DataFrame], sizes: dict[str, int], seed:
     for name, df in parts.items():
         kept = dedup.keep_first(df, T.pair_hash("instruction", "response"), "ord")
         picked[name] = sampling.sample(kept, "id", sizes[name], seed)
-    merged = evaluation.union_tagged(picked, "dataset").withColumn("ord", F.concat_ws(":", "dataset", "id"))
+    place = {name: k for k, name in enumerate(parts)}  # the order in which the sources are merged
+    merged = evaluation.union_tagged({n: x.withColumn("ord", F.struct(F.lit(place[n]).alias("part"), F.col("ord").alias("ord"))) for n, x in picked.items()}, "dataset")
     unique = dedup.keep_first(merged, T.pair_hash("instruction", "response"), "ord").drop("ord")
     clean = cut(unique.withColumns({c: personal.anonymised(F.col(c)) for c in ("instruction", "response")}))
     strata = ["dataset", "language", "task"]
-    split = cut(sampling.stratified_split(clean, strata, "id", split_seed))
+    split = sampling.require_complete(clean, cut(sampling.stratified_split(clean, strata, "id", split_seed)), "id")
     return Corpus(
         split, sampling.split_conformance(split, strata), leakage.overlap_matrix(split, F.col("split"), T.pair_hash("instruction", "response")),
         personal.residual(split, F.concat_ws("\n", "instruction", "response")), sampling.fingerprint(split, "split", "id"),

@@ -11,18 +11,27 @@ from lexmill.functions.text import metric_form, tokens
 
 
 def token_f1(df: DataFrame, key: str, prediction: str, reference: str, form: str) -> DataFrame:
-    """(key, precision, recall, f1, exact_match) by multisets of tokens in a normal form.
+    """(key, precision, recall, f1, exact_match) of each row, by multisets of tokens in a normal form.
 
-    Tokens of both sides are counted together by (key, token): one shuffle with
-    partial counts, whatever the texts' lengths.
+    A row's tokens of both sides are sorted together and read once: no shuffle.
     """
     p, r = metric_form(prediction, form), metric_form(reference, form)
     base = df.select(F.col(key), p.alias("p"), r.alias("r"))
-    side = lambda name, flag: base.select(key, F.explode(tokens(F.col(name))).alias("t"), F.lit(flag).alias("is_p"))
-    counted = side("p", 1).union(side("r", 0)).groupBy(key, "t").agg(F.sum("is_p").alias("p"), F.sum(1 - F.col("is_p")).alias("r"))
-    sums = counted.groupBy(key).agg(F.sum(F.least("p", "r")).alias("common"), F.sum("p").alias("n_p"), F.sum("r").alias("n_r"))
-    joined = base.select(key, (F.col("p") == F.col("r")).cast("int").alias("exact_match")).join(sums, key, "left")
-    ratio = lambda n: F.coalesce(F.when(F.col("common") > 0, F.col("common") / F.col(n)), F.lit(0.0))
+    base = base.select(key, (F.col("p") == F.col("r")).cast("int").alias("exact_match"), tokens(F.col("p")).alias("p"), tokens(F.col("r")).alias("r"))
+    tagged = lambda side, p: F.transform(side, lambda t: F.struct(t.alias("t"), F.lit(p).alias("p")))
+    both = F.concat(tagged("p", 1), tagged("r", 0))
+    start = F.struct(F.lit("").alias("t"), *(F.lit(0).alias(c) for c in ("p", "r", "common")))
+
+    def read(s: Column, x: Column) -> Column:
+        same = s["t"] == x["t"]
+        return F.struct(
+            x["t"].alias("t"), (F.when(same, s["p"]).otherwise(0) + x["p"]).alias("p"), (F.when(same, s["r"]).otherwise(0) + 1 - x["p"]).alias("r"),
+            (s["common"] + F.when(same, 0).otherwise(F.least(s["p"], s["r"]))).alias("common"),
+        )
+
+    common = F.aggregate(F.sort_array(both), start, read, lambda s: s["common"] + F.least(s["p"], s["r"]))
+    joined = base.select(key, "exact_match", common.alias("common"), F.size("p").alias("n_p"), F.size("r").alias("n_r"))
+    ratio = lambda n: F.when(F.col("common") > 0, F.col("common") / F.col(n)).otherwise(0.0)
     out = joined.withColumns({"precision": ratio("n_p"), "recall": ratio("n_r")})
     f1 = F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
     return out.select(key, "precision", "recall", F.coalesce(f1, F.lit(0.0)).alias("f1"), "exact_match")

@@ -1,9 +1,16 @@
-"""Personal data by patterns: counts and flags in the JVM, alerts with places, anonymisation, re-scan."""
+"""Personal data: counts and flags in the JVM, alerts with places, anonymisation of columns and of JSON records, reports, re-scan.
+
+Patterns have one meaning everywhere, that of Unicode text: `jvm` gives the form
+in which Java's engine reads them as Python's does.
+"""
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from typing import Any, Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,14 +35,31 @@ ENTITY_PATTERNS = {"EMAIL": "email", "URL": "url", "IP": "ip_address", "PHONE":
 CONTEXT = 80
 
 
+def jvm(pattern: str) -> str:
+    """The pattern for Java's engine: Unicode classes, and white space with the four separators that they leave out."""
+    out, inside, k = [], False, 0
+    while k < len(pattern):
+        two = pattern[k : k + 2]
+        if two == r"\s":
+            out.append(r"\s\x1c-\x1f" if inside else r"[\s\x1c-\x1f]")
+        elif two[0] == "\\":
+            out.append(two)
+        else:
+            inside = two[0] == "[" or (inside and two[0] != "]")
+            out.append(two[0])
+            k -= 1
+        k += 2
+    return "(?U)" + "".join(out)
+
+
 def counts(text: Column, names: list[str] | None = None) -> dict[str, Column]:
     """Number of matches of each pattern, without leaving the JVM."""
-    return {n: F.regexp_count(F.coalesce(text, F.lit("")), F.lit(PATTERNS[n])).cast("long") for n in names or PATTERNS}
+    return {n: F.regexp_count(F.coalesce(text, F.lit("")), F.lit(jvm(PATTERNS[n]))).cast("long") for n in names or PATTERNS}
 
 
 def flags(text: Column, names: list[str]) -> Column:
     """Names of the patterns that occur."""
-    found = F.array(*(F.when(F.coalesce(text, F.lit("")).rlike(PATTERNS[n]), F.lit(n)) for n in names))
+    found = F.array(*(F.when(F.coalesce(text, F.lit("")).rlike(jvm(PATTERNS[n])), F.lit(n)) for n in names))
     return F.filter(found, lambda x: x.isNotNull())
 
 
@@ -43,10 +67,11 @@ def alerts(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, field, type, start, end, match, context): every match of every pattern with its surroundings.
 
     The engine has no expression that returns the places of all matches, so
-    this runs in Arrow batches; rows without any match are dropped before.
+    this runs in Arrow batches. Rows without a digit, an at sign or the start of
+    an address, one of which every match has, are left out before.
     """
     long = df.select(key, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields))).alias("x"))
-    long = long.select(F.col(key).alias("key"), "x.field", "x.text").where(F.size(flags(F.col("text"), list(PATTERNS))) > 0)
+    long = long.select(F.col(key).alias("key"), "x.field", "x.text").where(F.col("text").rlike(r"(?U)[@\d]|(?i:http|www)"))
     patterns = {n: re.compile(p) for n, p in PATTERNS.items()}
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,7 +97,7 @@ def anonymised(text: Column, strategy: str = "replace", entities: tuple[str, ...
     """Text with the entities replaced by their token, masked by as many stars, or removed."""
     out = text
     for e in entities:
-        pattern = PATTERNS[ENTITY_PATTERNS[e]]
+        pattern = jvm(PATTERNS[ENTITY_PATTERNS[e]])
         if strategy == "mask":
             # matches and the text between them, put together with stars of each match's length
             hits = F.regexp_extract_all(out, F.lit(pattern), 0)
@@ -92,23 +117,23 @@ def residual(df: DataFrame, text: Column, entities: tuple[str, ...] = tuple(ENTI
 
 # The patterns of the quick controls.
 CONTROL_PATTERNS = {
-    "email": PATTERNS["email"],
+    "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
     "phone": r"(?<!\d)(?:\+?\d[\d .()-]{7,}\d)(?!\d)",
-    "url": r"https?://\S+|www\.\S+",
+    "url": r"(?i)https?://\S+|www\.\S+",
     "french_phone": r"(?<!\d)(?:\+33|0)[1-9](?:[\s.-]?\d{2}){4}(?!\d)",
-    "date": r"(?<!\d)(?:0?[1-9]|[12]\d|3[01])/(?:0?[1-9]|1[0-2])/(?:19|20)\d{2}(?!\d)",
+    "date": r"\b(?:0?[1-9]|[12]\d|3[01])[/-](?:0?[1-9]|1[0-2])[/-](?:19|20)\d{2}\b",
 }
 
 
 def control_findings(df: DataFrame, key: str, text: Column, names: tuple[str, ...] = ("email", "phone", "url")) -> DataFrame:
     """(key, type): one row for each control pattern that occurs; text may be a record as JSON."""
-    found = F.array(*(F.when(F.coalesce(text, F.lit("")).rlike(CONTROL_PATTERNS[n]), F.lit(n)) for n in names))
+    found = F.array(*(F.when(F.coalesce(text, F.lit("")).rlike(jvm(CONTROL_PATTERNS[n])), F.lit(n)) for n in names))
     return df.select(key, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("type"))
 
 
 def first_contexts(df: DataFrame, key: str, text: str, pattern: str = "email", around: int = 150) -> DataFrame:
     """(key, match, context): each match with what surrounds its first occurrence in the text."""
-    hits = df.select(key, text, F.explode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(PATTERNS[pattern]), 0)).alias("match"))
+    hits = df.select(key, text, F.explode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(jvm(PATTERNS[pattern])), 0)).alias("match"))
     at = F.instr(F.col(text), F.col("match"))
     start = F.greatest(at - around, F.lit(1))
     return hits.select(key, "match", F.substr(F.col(text), start, at - start + F.length("match") + around).alias("context"))
@@ -117,3 +142,173 @@ def first_contexts(df: DataFrame, key: str, text: str, pattern: str = "email", a
 def anonymised_messages(messages: Column, strategy: str = "replace") -> Column:
     """Contents anonymised, roles kept."""
     return F.transform(messages, lambda m: m.withField("content", anonymised(m["content"], strategy)))
+
+
+# ---- records as JSON text: a walk over all their strings, whatever their depth
+
+# Paths that hold no text of a person, for scans; and keys and paths that anonymising leaves as they are.
+SCAN_EXCLUDED = ("id", "provenance.source_id", "provenance.processing_version")
+PROTECTED_KEYS = (
+    "id", "original_id", "dataset", "source", "url", "source_license", "source_id", "processing_version", "language", "lang", "task", "type", "quality",
+    "dpo_split", "split", "label_type", "preference_valid", "clinically_validated", "clinical_validation_status", "expert_reviewed_labels",
+)
+PROTECTED_PATHS = ("id", "source", "provenance", "quality")
+#: Masked spans have at most so many stars.
+MOST_STARS = 1000
+#: Findings of recognisers below this score are left.
+LEAST_SCORE = 0.35
+
+Leaf = Callable[[str, str], Any]
+
+
+def walk(value: Any, leaf: Leaf, skip: Callable[[str, str], bool], path: str = "", key: str = "") -> Any:
+    """`value` with each string replaced by leaf(path, text); subtrees with skip(path, key) stay. Paths are like a.b[0].c."""
+    if path and skip(path, key):
+        return value
+    if isinstance(value, str):
+        return leaf(path, value)
+    if isinstance(value, dict):
+        return {k: walk(v, leaf, skip, f"{path}.{k}" if path else k, k) for k, v in value.items()}
+    if isinstance(value, list):
+        return [walk(v, leaf, skip, f"{path}[{k}]", key) for k, v in enumerate(value)]
+    return value
+
+
+def protects(keys: tuple[str, ...] = (), paths: tuple[str, ...] = ()) -> Callable[[str, str], bool]:
+    """Whether a key at any depth, or a path or one that it begins with, is protected."""
+    held, below = {*keys}, tuple(f"{p}." for p in paths) + tuple(f"{p}[" for p in paths)
+    return lambda path, key: key in held or path in paths or path.startswith(below)
+
+
+def json_texts(df: DataFrame, key: str, raw: str, excluded: tuple[str, ...] = SCAN_EXCLUDED) -> DataFrame:
+    """(key, path, text) of every string in JSON records but at excluded paths; text that is no JSON has none."""
+    skip = lambda path, _: path in excluded
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows: list[tuple] = []
+            for k, text in zip(b[key], b[raw], strict=True):
+                walk(_parsed(text), lambda path, t, k=k: rows.append((k, path, t)), skip)
+            yield pd.DataFrame(rows, columns=[key, "path", "text"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, raw).mapInPandas(run, f"`{key}` {kind}, path string, text string")
+
+
+def _parsed(text: str | None) -> Any:
+    try:
+        return json.loads(text) if text is not None else None
+    except ValueError:
+        return None
+
+
+class Recogniser(Protocol):
+    """Finds entities in a text (a tagger, a service, patterns); loaded once a Python worker."""
+
+    def __call__(self, text: str, language: str | None) -> list[tuple[int, int, str, float]]:
+        """(start, end, entity, score) of each finding."""
+
+
+# Shape of a medical licence number; its last digit checks the others.
+LICENCE = r"\b[abcdefghjklmprstuxABCDEFGHJKLMPRSTUX][a-zA-Z9]\d{7}\b"
+
+
+def licence_holds(number: str) -> bool:
+    d = [int(x) for x in number[2:]]
+    return (d[0] + d[2] + d[4] + 2 * (d[1] + d[3] + d[5])) % 10 == d[6]
+
+
+class PatternRecogniser:
+    """E-mail, address, phone and licence numbers by pattern, names and places by stated lists; a stand-in for a tagger."""
+
+    def __init__(self, entities: tuple[str, ...] = ("EMAIL", "PHONE", "IP", "URL", "MEDICAL_LICENSE"), persons: tuple[str, ...] = (), places: tuple[str, ...] = ()) -> None:
+        self.patterns = [(e, re.compile(PATTERNS[ENTITY_PATTERNS[e]])) for e in entities if e in ENTITY_PATTERNS]
+        self.licence = re.compile(LICENCE) if "MEDICAL_LICENSE" in entities else None
+        lists = (("PERSON", persons), ("LOCATION", places))
+        self.lists = [(e, re.compile(r"(?<!\w)(?:%s)(?!\w)" % "|".join(map(re.escape, sorted(names, key=len, reverse=True))))) for e, names in lists if names]
+
+    def __call__(self, text: str, language: str | None) -> list[tuple[int, int, str, float]]:
+        found = [(m.start(), m.end(), e, 0.5) for e, p in self.patterns for m in p.finditer(text)]
+        found += [(m.start(), m.end(), e, 0.85) for e, p in self.lists for m in p.finditer(text)]
+        if self.licence:
+            found += [(m.start(), m.end(), "MEDICAL_LICENSE", 1.0) for m in self.licence.finditer(text) if licence_holds(m.group())]
+        return found
+
+
+def resolved(found: list[tuple[int, int, str, float]], least: float = LEAST_SCORE) -> list[tuple[int, int, str]]:
+    """Findings that don't overlap: the longest first, of equals the higher score, then the leftmost."""
+    out: list[tuple[int, int, str]] = []
+    for s, e, entity, score in sorted(found, key=lambda x: (x[0] - x[1], -x[3], x[0], x[2])):
+        if score >= least and s < e and all(e <= a or s >= b for a, b, _ in out):
+            out.append((s, e, entity))
+    return sorted(out)
+
+
+def rewritten(text: str, spans: list[tuple[int, int, str]], strategy: str) -> str:
+    """Text with each span replaced by its token, masked by stars, or removed (redact)."""
+    mark = {"replace": lambda s, e, x: f"[{x}]", "mask": lambda s, e, x: "*" * min(e - s, MOST_STARS), "redact": lambda s, e, x: ""}[strategy]
+    out, at = [], 0
+    for s, e, x in spans:
+        out += [text[at:s], mark(s, e, x)]
+        at = e
+    return "".join([*out, text[at:]])
+
+
+def anonymised_json(
+    df: DataFrame, raw: str, recogniser: Recogniser, language: str | None = None, languages: tuple[str, ...] = ("en", "fr"),
+    strategy: str = "replace", keys: tuple[str, ...] = PROTECTED_KEYS, paths: tuple[str, ...] = PROTECTED_PATHS,
+) -> DataFrame:
+    """`df` with its JSON records anonymised, and `found`: how often each entity was replaced.
+
+    Protected keys (at any depth) and paths keep their whole subtree. Records in
+    another language than the stated ones, or that are no JSON, stay as they are
+    and have `found` null.
+    """
+    skip = protects(keys, paths)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts, found = [], []
+            tongues = b[language] if language else [None] * len(b)
+            for text, tongue in zip(b[raw], tongues, strict=True):
+                record = _parsed(text)
+                if record is None or (language and tongue not in languages):
+                    texts.append(text), found.append(None)
+                    continue
+                seen: Counter[str] = Counter()
+
+                def leaf(_: str, t: str, tongue=tongue, seen=seen) -> str:
+                    spans = resolved(recogniser(t, tongue))
+                    seen.update(x for _, _, x in spans)
+                    return rewritten(t, spans, strategy)
+
+                new = walk(record, leaf, skip)
+                texts.append(json.dumps(new, ensure_ascii=False) if seen else text), found.append(dict(seen))
+            yield b.assign(**{raw: texts, "found": found})
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInPandas(run, f"{fields}, found map<string,bigint>")
+
+
+def anonymisation_report(df: DataFrame, dataset: str) -> DataFrame:
+    """(dataset, entity, n, n_records): replacements of each entity by dataset and in all; entity `any` counts changed
+    records, `untouched` those left for their language."""
+    each = df.select(F.col(dataset).alias("dataset"), "found")
+    each = each.union(each.select(F.lit("all").alias("dataset"), "found"))
+    per = each.select("dataset", F.explode("found").alias("entity", "n")).groupBy("dataset", "entity").agg(F.sum("n").alias("n"), F.count("*").alias("n_records"))
+    changed = F.size(F.map_keys("found")) > 0
+    whole = each.groupBy("dataset").agg(
+        F.coalesce(F.sum(F.aggregate(F.map_values("found"), F.lit(0).cast("long"), lambda s, x: s + x)), F.lit(0)).alias("n"),
+        F.count_if(changed).alias("changed"), F.count_if(F.col("found").isNull()).alias("untouched"),
+    )
+    return per.union(whole.select("dataset", F.lit("any").alias("entity"), "n", "changed")).union(
+        whole.where("untouched > 0").select("dataset", F.lit("untouched").alias("entity"), F.lit(0).cast("long"), "untouched")
+    )
+
+
+def alert_summary(found: DataFrame, key: str, by: tuple[str, ...]) -> DataFrame:
+    """(dimension, value, n, n_records) of alerts over all and by each of some columns (type, field, dataset), most first."""
+    sides = [("all", F.lit("all")), *((c, F.col(c).cast("string")) for c in by)]
+    long = found.select(key, F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), v.alias("value")) for d, v in sides))).alias("x"))
+    counted = long.groupBy("x.dimension", "x.value").agg(F.count("*").alias("n"), F.count_distinct(key).alias("n_records"))
+    return counted.orderBy("dimension", F.desc("n"), "value")

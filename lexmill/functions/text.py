@@ -10,8 +10,10 @@ WS = r"(?U)[\s\x1c-\x1f]+"
 # ASCII punctuation.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # Language markers, looked for between spaces.
-FRENCH_MARKERS = "le la les des une un avec pour dans est sont patient symptômes médecin traitement maladie".split()
-ENGLISH_MARKERS = "the a an with for in is are patient symptoms doctor treatment disease".split()
+FRENCH_MARKERS = (
+    "le", "la", "les", "des", "une", "un", "avec", "pour", "dans", "est", "sont", "patient", "symptômes", "médecin", "traitement", "maladie",
+)
+ENGLISH_MARKERS = ("the", "a", "an", "with", "for", "in", "is", "are", "patient", "symptoms", "doctor", "treatment", "disease")
 # Answer letters.
 LETTERS = ("A", "B", "C", "D", "E")
 
@@ -95,11 +97,17 @@ def as_list(x: Column | str) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(col(x), F.lit("")), ","), lambda v: clean(v)), lambda v: v != "")
 
 
+def cleaned_list(x: Column | str) -> Column:
+    """The elements of an array as cleaned non-empty strings; null gives none."""
+    parts = F.transform(F.coalesce(col(x), F.array().cast("array<string>")), lambda v: clean(v.cast("string")))
+    return F.filter(parts, lambda v: v != "")
+
+
 def marker_language(x: Column | str) -> Column:
     """fr if more French than English markers occur between spaces, else en."""
     padded = F.concat(F.lit(" "), F.lower(F.coalesce(col(x), F.lit(""))), F.lit(" "))
 
-    def hits(markers: list[str]) -> Column:
+    def hits(markers: tuple[str, ...]) -> Column:
         total = F.lit(0)
         for m in markers:
             total = total + F.contains(padded, F.lit(f" {m} ")).cast("int")
@@ -181,6 +189,13 @@ def conversation_text(messages: Column | str, sep: str = ": ") -> Column:
     return F.array_join(F.transform(col(messages), lambda m: F.concat(m["role"], F.lit(sep), m["content"])), "\n")
 
 
+def conversation_key(messages: Column | str) -> Column:
+    """For comparing conversations: comparison keys of role and content, messages with either, one a line."""
+    keys = F.transform(col(messages), lambda m: F.struct(comparison_key(m["role"]).alias("r"), comparison_key(m["content"]).alias("c")))
+    kept = F.filter(keys, lambda m: (m["r"] != "") | (m["c"] != ""))
+    return F.coalesce(F.array_join(F.transform(kept, lambda m: F.concat(m["r"], F.lit(":"), m["c"])), "\n"), F.lit(""))
+
+
 def chat_template(messages: Column | str) -> Column:
     return F.array_join(F.transform(col(messages), lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>\n"), m["content"], F.lit("\n"))), "")
 
@@ -207,6 +222,13 @@ def first_filled(*values: Column | str) -> Column:
     return F.coalesce(*(F.nullif(col(v).cast("string"), F.lit("")) for v in values))
 
 
+def first_string(raw: Column | str, *keys: str) -> Column:
+    """The value of the first top-level key that holds a string, be it empty; an empty string if none does."""
+    value = F.try_parse_json(col(raw))
+    at = lambda k: F.when(F.schema_of_variant(F.try_variant_get(value, f"$.{k}", "variant")) == "STRING", F.try_variant_get(value, f"$.{k}", "string"))
+    return F.coalesce(*map(at, keys), F.lit(""))
+
+
 def json_paths(raw: Column | str, *paths: str) -> Column:
     """The first filled value at one of several paths of a JSON text, e.g. source.dataset, then dataset."""
     return first_filled(*(F.get_json_object(col(raw), f"$.{p}") for p in paths))

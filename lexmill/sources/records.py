@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
@@ -45,8 +46,24 @@ def json_lines_strict(spark: SparkSession, path: str | list[str], schema: Struct
 
 
 def json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Objects of a file that holds one JSON array."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """Objects of a file that holds one JSON array; items that aren't objects are left out, and the
+    query fails if a file holds anything else than an array."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
+    is_array = F.coalesce(F.schema_of_variant("v").startswith("ARRAY"), F.lit(False))
+    items = F.when(is_array, F.try_variant_get("v", "$", "array<variant>")).otherwise(F.raise_error(F.concat(F.lit("no JSON array in "), "file")))
+    objects = files.select(F.explode(items).alias("x")).where(F.schema_of_variant("x").startswith("OBJECT"))
+    return objects.select(F.from_json(F.to_json("x"), schema).alias("row")).select("row.*")
+
+
+def json_lines_of(spark: SparkSession, paths: list[str], schema: StructType | str) -> tuple[DataFrame, DataFrame]:
+    """As json_lines, of those paths that exist, good rows with `split`, the name of their file; a missing path is warned of."""
+    there = existing(spark, paths)
+    for p in sorted({*paths} - {*there}):
+        warnings.warn(f"missing: {p}", stacklevel=2)
+    if not there:
+        raise FileNotFoundError(", ".join(paths))
+    good, bad = json_lines(spark, there, schema)
+    return good.withColumn("split", F.regexp_extract("ord.file", r"([^/]+?)(?:\.[^./]*)?$", 1)), bad
 
 
 def existing(spark: SparkSession, paths: list[str]) -> list[str]:
@@ -153,9 +170,12 @@ def report(df: DataFrame, most_rows: int = 1000) -> str:
 
 
 def text_report(title: str, sections: dict[str, DataFrame], most_rows: int = 1000) -> str:
-    """Ranked sections as plain text."""
+    """Ranked sections as plain text; a section of more rows is an error, not cut off."""
     out = [title, "=" * len(title)]
     for name, df in sections.items():
         out += ["", name, "-" * len(name)]
-        out += ["  ".join(str(v) for v in r) for r in df.limit(most_rows).collect()]
+        rows = df.limit(most_rows + 1).collect()
+        if len(rows) > most_rows:
+            raise ValueError(f"{name}: more than {most_rows} rows")
+        out += ["  ".join(str(v) for v in r) for r in rows]
     return "\n".join(out) + "\n"

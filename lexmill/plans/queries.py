@@ -2,39 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import scores as S
 from lexmill.functions import text as T
-from lexmill.operators import dedup, evaluation, leakage, personal, sampling, scoring, validate
+from lexmill.operators import dedup, evaluation, joins, leakage, personal, sampling, scoring, validate
+from lexmill.plans.registry import QUERIES, SQL, query
 from lexmill.session import table
 from lexmill.sources import records
 from lexmill.streaming import events
 
 SEED = 3407
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 
 # Parts of the SQL that several queries share.
 _KEY = r"lower(trim(regexp_replace(text, '\s+', ' ', 'g')))"
 _ORDER = "sha256(concat('3407:', doc_id))"
 
 
-def query(sql: str | None = None):
-    """Register a query under its function's name."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
@@ -211,20 +196,24 @@ _WATERFALL = f"""
 
 @query(_WATERFALL)
 def drop_reason_waterfall(spark, d):
-    j = docs(spark, d).join(table(spark, d, "labels"), "doc_id", "left")
-    j = leakage.leak_flag(j, T.comparison_key("text"), table(spark, d, "benchmark"), T.comparison_key("text"), "leak")
+    # each text is read once and left behind: a row goes on with its key's hash, a flag, language and labels
+    k = F.sha2(T.comparison_key("text"), 256)
+    j = docs(spark, d).select("doc_id", "lang", k.alias("k"), (F.length(T.strip("text")) < 200).alias("short"))
+    j = j.join(table(spark, d, "labels"), "doc_id", "left")
+    known = table(spark, d, "benchmark").select(k.alias("k")).distinct().withColumn("leak", F.lit(True))
+    j = j.join(known, "k", "left").withColumn("leak", F.coalesce("leak", F.lit(False)))
     reason = validate.drop_reason(
         {
-            "short": F.length(T.strip("text")) < 200, "no_label": F.col("quality").isNull(), "toxic": F.col("toxic") == 1,
+            "short": F.col("short"), "no_label": F.col("quality").isNull(), "toxic": F.col("toxic") == 1,
             "leakage": F.col("leak"), "language": ~F.col("lang").isin("en", "fr"),
         }
     )
-    j = j.withColumns({"reason": reason, "k": F.sha2(T.comparison_key("text"), 256)})
-    # only rows still alive compete for first place
-    first = j.where("reason = 'usable'").groupBy("k").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("is_first"))
-    j = j.select("doc_id", "reason").join(first, "doc_id", "left")
-    out = F.when((F.col("reason") == "usable") & F.col("is_first").isNull(), "duplicate").otherwise(F.col("reason"))
-    return j.groupBy(out.alias("drop_reason")).agg(F.count("*").alias("n"))
+    # of the rows still alive, those after the first of their key are duplicates
+    alive = F.when(F.col("reason") == "usable", F.col("k"))
+    counted = j.select("k", reason.alias("reason")).groupBy("reason", alive.alias("k")).agg(F.count("*").alias("n"))
+    first = F.when(F.col("reason") == "usable", 1).otherwise(F.col("n"))
+    both = F.array(F.struct(F.col("reason").alias("drop_reason"), first.alias("n")), F.struct(F.lit("duplicate").alias("drop_reason"), (F.col("n") - first).alias("n")))
+    return counted.select(F.explode(both).alias("x")).groupBy("x.drop_reason").agg(F.sum("x.n").alias("n")).where("n > 0")
 
 
 @query("""
@@ -471,10 +460,13 @@ def preference_decision(spark, d):
     return spark.createDataFrame(DECISIONS, "id int, c double, r double").select("id", S.decision("c", "r").alias("preferred"))
 
 
-@query()
+_SCORE = "-2 * cast(concat('0x', substr(sha256(concat(prompt, chr(10), {})), 1, 12)) as bigint) / 281474976710656.0"
+
+
+@query(f"""with {_PAIRS}, s as (select {_SCORE.format("chosen")} as c, {_SCORE.format("rejected")} as r from p)
+    select count(*) as n, count(*) as n_valid, count(*) filter (c > r) as n_correct, count(*) filter (c > r) / count(*) as of_valid, count(*) filter (c > r) / count(*) as of_all from s""")
 def preference_accuracy(spark, d):
-    s = scoring.scored(pairs(spark, d), scoring.HashScorer(), "prompt", "chosen", "chosen_score")
-    s = scoring.scored(s, scoring.HashScorer(), "prompt", "rejected", "rejected_score")
+    s = scoring.scored_pairs(pairs(spark, d), scoring.HashScorer(), "prompt", "chosen", "rejected")
     return evaluation.accuracy(s, F.col("chosen_score") > F.col("rejected_score"), F.col("chosen_score").isNotNull())
 
 
@@ -625,7 +617,7 @@ def mcq_render(spark, d):
     return df.select("id", T.mcq_instruction("question", "choices").alias("instruction"), T.mcq_response("choices", "answers").alias("response"))
 
 
-@query("""select * from (values (1, 'choices_blank'), (1, 'choices_keys'), (2, 'answers_empty'), (3, 'answers_unknown'), (3, 'answers_blank')) t(id, rule)""")
+@query("""select * from (values (1, 'choice_C_blank'), (1, 'choice_D_blank'), (1, 'choice_E_blank'), (1, 'choices_keys'), (2, 'answers_empty'), (3, 'answers_unknown'), (3, 'answers_blank')) t(id, rule)""")
 def mcq_structure(spark, d):
     full = dict(zip("ABCDE", "vwxyz", strict=True))
     rows = [(0, full, ["A"]), (1, {"A": "v", "B": "w"}, ["A"]), (2, full, []), (3, full, ["A", "F"])]
@@ -673,7 +665,7 @@ def html_title_text(spark, d):
     return table(spark, d, "pages").select("page_id", records.html_title("html").alias("title"), F.sha2(records.html_text("html"), 256).alias("text_sha256"))
 
 
-def _sql_hits(markers: list[str]) -> str:
+def _sql_hits(markers: tuple[str, ...]) -> str:
     return " + ".join(f"cast(contains(x, ' {m} ') as int)" for m in markers)
 
 
@@ -750,8 +742,6 @@ def prompt_render(spark, d):
 @query("""with l as (select conv_id, last(text order by turn) as prediction from conversations group by conv_id)
     select l.conv_id, l.prediction, f.text as reference from l join conversations f on f.conv_id = l.conv_id and f.turn = (select min(turn) from conversations c where c.conv_id = l.conv_id)""")
 def prediction_lookup(spark, d):
-    from lexmill.operators import joins
-
     turns = table(spark, d, "conversations")
     first = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("reference"))
     return joins.lookup(first, turns.select("conv_id", "turn", F.col("text").alias("prediction")), "conv_id", F.col("turn")).select("conv_id", "prediction", "reference")
@@ -760,8 +750,6 @@ def prediction_lookup(spark, d):
 @query("""with t as (select conv_id, turn, text, row_number() over (partition by conv_id order by turn) as a, row_number() over (partition by conv_id order by turn desc) as z from conversations)
     select x.conv_id, x.text as first_value, y.text as second_value from t x join t y on x.conv_id = y.conv_id and x.a = 1 and y.z = 1 where trim(x.text) <> trim(y.text)""")
 def differing_predictions(spark, d):
-    from lexmill.operators import joins
-
     turns = table(spark, d, "conversations")
     first = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
     last = turns.groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))

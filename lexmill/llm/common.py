@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.session import cut, table
 
-__all__ = ["cut", "table", "small_batches", "whole_runs", "looked_up", "components"]
+__all__ = ["cut", "table", "small_batches", "whole_runs", "looked_up", "bit_filter", "passes", "components"]
 
 #: Rows of an Arrow batch of whole documents; bounds a Python worker's memory.
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
@@ -48,47 +48,87 @@ def whole_runs(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.R
 FILTER_BITS = 1 << 24
 
 
-def looked_up(src: DataFrame, wanted: DataFrame, on: str) -> DataFrame:
-    """`src` joined with `wanted` on a column of longs.
+def looked_up(src: DataFrame, wanted: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """`src` joined with `wanted` (how: inner or left) on columns that both have, nulls being equal; no other names may be common.
 
-    Most rows that `wanted` lacks are left out before the shuffle by a bit
-    filter, whose broadcast is bounded by FILTER_BITS / 64 rows whatever the
-    size of `wanted`; the more is wanted, the more rows pass the filter.
+    Most rows that `wanted` lacks are kept out of the shuffle by a bit filter,
+    whose broadcast is bounded by FILTER_BITS / 64 rows whatever the size of
+    `wanted`; the more is wanted, the more rows pass the filter.
     """
     wanted = cut(wanted)
-    place = F.pmod(F.xxhash64(F.col(on)), F.lit(FILTER_BITS))
-    bits = wanted.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("bits"))
-    passed = src.withColumns({"place": place, "word": F.shiftright(place, 6)}).join(F.broadcast(bits), "word")
-    return passed.where("bit_get(bits, cast(place & 63 as int)) = 1").drop("place", "word", "bits").join(wanted, on)
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    place = F.pmod(F.xxhash64(*on), F.lit(FILTER_BITS))
+    words = wanted.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("bits"))
+    words = words.select(F.col("word").alias("__filter_word"), F.col("bits").alias("__filter_bits"))
+    tried = src.withColumn("__filter_place", place).join(F.broadcast(words), F.shiftright("__filter_place", 6) == F.col("__filter_word"), "left")
+    tried = tried.withColumn("__filter_passed", F.expr("coalesce(bit_get(__filter_bits, cast(__filter_place & 63 as int)) = 1, false)"))
+    tried = tried.drop("__filter_place", "__filter_word", "__filter_bits")
+    other = wanted.withColumnsRenamed({c: f"__wanted_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"__wanted_{c}")) for c in on]
+    joined = tried.where("__filter_passed").drop("__filter_passed").join(other, same, how).drop(*(f"__wanted_{c}" for c in on))
+    if how == "inner":
+        return joined
+    rest = tried.where("not __filter_passed").drop("__filter_passed")
+    return joined.unionByName(rest, allowMissingColumns=True)
+
+
+def bit_filter(hashes: DataFrame, bits: int):
+    """A broadcast bitmap of the hashes (column h of longs); its size is `bits`, however many there are."""
+    place = F.col("h").bitwiseAND(bits - 1)
+    words = hashes.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("bits"))
+    got = words.toPandas()  # at most bits / 64 rows
+    out = np.zeros(bits // 64, np.int64)
+    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    return hashes.sparkSession.sparkContext.broadcast(out.view(np.uint64))
+
+
+def passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes a bit filter lets through: all that it was made of, and a few others."""
+    place = hashes & np.uint64(64 * len(bitmap) - 1)
+    return (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) != 0
+
+
+#: Edges of a node beyond which they are dealt over several tasks.
+HOT_EDGES = 1_000_000
+
+
+def components(edges: DataFrame, most_rounds: int = 60, hot_edges: int = HOT_EDGES) -> DataFrame:
     """Smallest node reachable from each node: (node, component) of undirected edges (a, b).
 
-    Alternates the large-star and small-star steps on checkpointed edge lists
-    until nothing changes; every step is an aggregation and an equi-join, so
-    neither links nor components reach the driver. Nodes without an edge are
-    not listed.
+    Alternates the large-star and small-star steps until each node has one edge,
+    to a node that has none to a smaller one. A step sees a node's edges in one
+    task; those of a node with more than `hot_edges` are dealt over several, which
+    the large-star step gives the node's smallest neighbour, counted before. Only
+    such nodes, few, reach the driver. Nodes without an edge are not listed.
     """
-    e = cut(
-        edges.where(F.col("a") != F.col("b"))
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-    )
-    seen = None
+    edges = edges.where(F.col("a") != F.col("b"))
+    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+
+    def lowest(rows: DataFrame, hot: list) -> DataFrame:
+        """Distinct rows (u, v) with m, the smallest v of a u's share."""
+        share = F.lit(0)
+        for node, count, _ in hot:
+            share = F.when(F.col("u") == node, F.pmod(F.xxhash64("v"), F.lit(-(-count // hot_edges))).cast("int")).otherwise(share)
+        dealt = rows.withColumn("share", share).repartition("u", "share").dropDuplicates(["u", "share", "v"])
+        return dealt.withColumn("m", F.min("v").over(Window.partitionBy("u", "share")))
+
     for _ in range(most_rounds):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
+        ends = e.select(F.col("u").alias("node"), "v", F.lit(1).alias("up")).union(e.select(F.col("v").alias("node"), F.lit(None).cast("long"), F.lit(0)))
+        nodes = ends.groupBy("node").agg(F.count("*").alias("n"), (F.min("up") != F.max("up")).alias("inner"), F.min("v").alias("low"), F.max("v").alias("high"))
+        state = nodes.agg(
+            F.max(F.col("inner") | F.coalesce(F.col("low") != F.col("high"), F.lit(False))).alias("open"),
+            F.collect_list(F.when(F.col("n") > hot_edges, F.struct("node", "n", "low"))).alias("hot"),
+        ).first()
+        if not state["open"]:
             break
-        seen = now
+        hot = [(r["node"], r["n"], r["low"]) for r in state["hot"]]
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = lowest(both, hot)
+        for node, _, low in hot:
+            large = large.withColumn("m", F.when(F.col("u") == node, F.lit(node if low is None else low)).otherwise(F.col("m")))
+        large = large.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        small = lowest(large, hot)
+        parts = F.array(F.when(F.col("v") != F.col("m"), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))), F.struct("u", F.col("m").alias("v")))
+        e = cut(small.select(F.explode(parts).alias("x")).where("x is not null").select("x.u", "x.v"))
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(

@@ -7,17 +7,18 @@ with nothing. Sets are equal as texts of words are: equal sets are one class.
 1. Tokens (shingles) are hashed into groups. Two linked sets differ in at most
    d shingles, so of any d + 1 filled groups one is equal in both: each set goes
    to the trees named by (size level, group, contents) of its first d + 1 filled
-   groups, and any two linked sets meet in a tree. Trees of the same members are
-   one; a tree of many members is dealt out in blocks.
+   groups, d being the most for the sizes it can meet there, and any two linked
+   sets meet in a tree. Trees of the same members are one; a tree of many members
+   is dealt out in blocks.
 2. The members of a tree are points: count vectors, tokens per group, of a length
    that follows the set's size and can be folded to a shorter one. Two sets share
    at most the sum of the smaller counts. An R-tree over the points bounds the
    overlap of anything below two nodes by the smaller upper limits; node pairs
    that can't reach the needed overlap, or lie in one component, are left out. A
    task gives only a spanning forest of what passes, never the pairs of a group.
-3. The forest's edges are verified on the sets: first one edge a member, then
-   those that still connect two components. Where an edge of a tree fails, the
-   tree is done again on the sets themselves, each surviving pair verified.
+3. The forests' edges are verified on the sets. Where an edge of a tree fails and
+   its ends stay apart, the tree's members that can still be linked to another
+   component are compared on the sets themselves, each surviving pair verified.
 4. Trees of several blocks that hold several components after that are treated
    alike over every two blocks.
 Components come from star contraction on the cluster. Ties go to the smallest
@@ -92,9 +93,12 @@ def keys(own: np.ndarray, num: int, den: int) -> np.ndarray:
         total = running[limits[1:]] - running[limits[:-1]]
         name = np.arange(groups, dtype=U64) * _MULT[43] + _MULT[44:45] * U64(level)
         key = mix(total + name) & ~U64(127) | U64(level)
-        # of two linked sets' first differ + 1 filled groups one is common; a set with fewer sends its empty ones too
+        # the largest set that this one can be linked with, and meets on this level first
+        other = min(int(_LEVELS[level]), n * den // num)
+        most = (den - num) * (n + other) // (den + num)
+        # of two linked sets' first most + 1 filled groups one is common; a set with fewer sends its empty ones too
         filled = np.flatnonzero(limits[1:] > limits[:-1])
-        out.append(key[filled[: differ + 1]] if len(filled) > differ else key)
+        out.append(key[filled[: most + 1]] if len(filled) > most else key)
     return np.concatenate(out)
 
 
@@ -332,6 +336,21 @@ def _forests(batches: Iterator[pa.RecordBatch], num: int, den: int, exact: bool)
         )
 
 
+def _doubtful(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Of rows as in _forests (with vectors) those that can be linked with a row of another component: all but the vector."""
+    for batch, starts in whole_runs(batches, 3):
+        lo, hi, block, comp, sizes = (c.to_numpy(zero_copy_only=False) for c in batch.columns[1:6])
+        ends, keep = [*starts[1:].tolist(), batch.num_rows], np.zeros(batch.num_rows, bool)
+        for s, e in zip(starts.tolist(), ends, strict=True):
+            own, vectors, size = comp[s:e], folded(batch.column(7).slice(s, e - s).to_pylist()), sizes[s:e]
+            for i, j in CountTree(vectors, size, own).pairs(num, den) if e - s > 2 * LEAF else [_few(vectors, size, num, den)]:
+                good = own[i] != own[j]
+                if lo[s] != hi[s]:
+                    good &= block[s:e][i] != block[s:e][j]
+                keep[s + i[good]] = keep[s + j[good]] = True
+        yield batch.select(range(7)).filter(pa.array(keep))
+
+
 class _Join:
     """The parts of one join: texts, classes of equal sets, and the components found so far."""
 
@@ -341,7 +360,7 @@ class _Join:
         one = F.min(F.struct(F.col("key").isNull().alias("no"), "key", "text_id")).alias("one")
         classes = self.ids.where("sid is not null").groupBy("sid").agg(one, F.first("n").alias("n"), F.first("vector").alias("vector"))
         self.classes = cut(classes.select("sid", "one.key", "one.text_id", "n", "vector"))
-        self.joined = src.sparkSession.createDataFrame([], "node long, component long")
+        self.joined: DataFrame | None = None
 
     def members(self) -> DataFrame:
         """(tree, block, blocks, sid) of all trees of two or more sets."""
@@ -361,10 +380,14 @@ class _Join:
 
     def labelled(self, rows: DataFrame) -> DataFrame:
         """Rows with the component of their sid."""
+        if self.joined is None:
+            return rows.withColumn("comp", F.col("sid"))
         return rows.join(self.joined, F.col("sid") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "sid")).drop("node", "component")
 
     def apart(self, edges: DataFrame) -> DataFrame:
         """Edges whose ends are not in one component."""
+        if self.joined is None:
+            return edges
         for end in ("a", "b"):
             edges = edges.join(self.joined.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
         return edges.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
@@ -372,8 +395,8 @@ class _Join:
     def with_sets(self, rows: DataFrame, columns: str) -> DataFrame:
         """The rows (sid and `columns`) with the sets, read from one text of each class."""
         n = self.n
-        rows = rows.join(self.classes.select("sid", F.col("key").alias("own"), "text_id"), "sid")
-        found = looked_up(self.src, rows, "text_id").where(F.col("key").eqNullSafe(F.col("own")))
+        rows = rows.join(self.classes.select("sid", "key", "text_id"), "sid")
+        found = looked_up(self.src, rows, ["key", "text_id"])
         names = [c.split()[0] for c in columns.split(", ")]
         return found.select("text", "sid", *names).mapInArrow(lambda it: _sets(it, n), f"{columns}, sid long, set binary")
 
@@ -392,6 +415,9 @@ class _Join:
         """Take further links into the components."""
         if not links.limit(1).count():
             return
+        if self.joined is None:
+            self.joined = cut(components(links))
+            return
         ends = links.select(F.col("a").alias("sid")).union(links.select(F.col("b").alias("sid"))).distinct()
         ends = cut(self.labelled(ends))
         top = components(
@@ -403,27 +429,26 @@ class _Join:
         moved = both.join(top.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
         self.joined = cut(moved.select("node", F.coalesce("to", "component").alias("component")))
 
-    def forests(self, rows: DataFrame, exact: bool) -> DataFrame:
-        """Forest edges (tree, lo, hi, a, b) of rows (tree, lo, hi, block, comp, sid)."""
-        num, den = self.num, self.den
-        rows = rows.join(self.classes.select("sid", "n", "vector"), "sid").select("tree", "lo", "hi", "block", "comp", "n", "sid", "vector")
-        if exact:
-            rows = self.with_sets(rows.drop("vector"), "tree long, lo int, hi int, block int, comp long, n long")
-        rows = rows.repartition("tree", "lo", "hi").sortWithinPartitions("tree", "lo", "hi", "sid")
-        return cut(rows.mapInArrow(lambda it: _forests(it, num, den, exact), "tree long, lo int, hi int, a long, b long"))
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """Rows (tree, lo, hi, block, comp, n, sid, vector) of rows (tree, lo, hi, block, sid), by tree and blocks in order."""
+        rows = self.labelled(rows).join(self.classes.select("sid", "n", "vector"), "sid").select("tree", "lo", "hi", "block", "comp", "n", "sid", "vector")
+        return _in_order(rows)
 
     def settle(self, rows: DataFrame) -> None:
         """Join all linked sets that are together in a (tree, lo, hi) of rows (tree, lo, hi, block, sid)."""
-        rows = cut(rows)
-        found = self.forests(self.labelled(rows), False)
-        first = cut(found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-        self.join(self.links(first))
-        rest = self.apart(found.select("a", "b").distinct()).join(first, ["a", "b"], "left_anti")
-        self.join(self.links(rest))
+        num, den, edge = self.num, self.den, "tree long, lo int, hi int, a long, b long"
+        found = cut(self.dealt(rows).mapInArrow(lambda it: _forests(it, num, den, False), edge))
+        self.join(self.links(found.select("a", "b").distinct()))
         failed = cut(self.apart(found).select("tree", "lo", "hi").distinct())
         if failed.limit(1).count():
-            again = rows.join(failed, ["tree", "lo", "hi"])
-            self.join(self.forests(self.labelled(again), True).select("a", "b").distinct())
+            kept = "tree long, lo int, hi int, block int, comp long, n long"
+            open_ = self.dealt(rows.join(failed, ["tree", "lo", "hi"])).mapInArrow(lambda it: _doubtful(it, num, den), f"{kept}, sid long")
+            exact = _in_order(self.with_sets(open_, kept)).mapInArrow(lambda it: _forests(it, num, den, True), edge)
+            self.join(cut(exact.select("a", "b").distinct()))
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    return rows.repartition("tree", "lo", "hi").sortWithinPartitions("tree", "lo", "hi", "sid")
 
 
 def near_duplicates(

@@ -12,13 +12,22 @@ from lexmill.llm import line_dedup, ngram_join, suffix_dedup, suffixes
 from lexmill.llm.common import components
 
 
-def lines_by_hand(rows, min_chars):
+def within_one_edit(a, b):
+    if abs(len(a) - len(b)) > 1:
+        return False
+    n = min(len(a), len(b))
+    i = next((k for k in range(n) if a[k] != b[k]), n)
+    return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
+
+
+def lines_by_hand(rows, min_chars, min_exact=1):
     seen, out = [], {}
     for i, t in sorted((r[0], r[1]) for r in rows):
         kept, lines = [], t.split("\n") if t else []
         for x in lines:
-            gone = len(x) >= min_chars and any(abs(len(x) - len(s)) < 2 and line_dedup.within_one_edit(x, s) for s in seen)
-            if len(x) >= min_chars:
+            gone = len(x) >= min_exact and bool(x.strip()) and x in seen
+            gone = gone or (len(x) >= min_chars and any(len(s) >= min_chars and within_one_edit(x, s) for s in seen))
+            if x.strip():
                 seen.append(x)
             if not gone:
                 kept.append(x)
@@ -39,7 +48,7 @@ def test_within_one_edit():
 
     for _ in range(3000):
         a, b = ("".join(r.choice("ab") for _ in range(r.randint(0, 5))) for _ in range(2))
-        assert line_dedup.within_one_edit(a, b) == (distance(a, b) <= 1)
+        assert within_one_edit(a, b) == (distance(a, b) <= 1)
 
 
 def test_lines(spark):
@@ -68,6 +77,20 @@ def test_rows_without_id_stay(spark):
     assert Counter(x.text for x in out.collect()) == {line: 2, "": 1}
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    """Each row loses its own lines only; names of further columns may clash."""
+    shared = "a line that is in both of these"
+    rows = [(5, f"{shared}\none more line of the first row"), (5, f"a second row has its own first line\n{shared}"), (5, None), (6, f"ok\n{shared}\nok\n \n ")]
+    df = spark.createDataFrame([(*r, k, "x") for k, r in enumerate(rows)], "doc_id long, text string, row int, key string")
+    got = {x.row: (x.text, x.n_lines_removed, x.key) for x in line_dedup.dedup_lines(df).collect()}
+    first = min((0, 1), key=lambda k: got[k][1])  # the order of rows of one id follows their texts' hashes
+    assert got[first] == (rows[first][1], 0, "x")
+    assert got[1 - first] == (rows[1 - first][1].replace(shared, "").strip("\n"), 1, "x")
+    assert got[2] == (None, 0, "x") and got[3] == ("ok\n \n ", 2, "x")
+    kept = {x.row: x.text for x in line_dedup.dedup_lines(df, min_exact=20).collect()}
+    assert kept[3] == "ok\nok\n \n "
+
+
 def sets_by_hand(rows, n, num):
     sets = {}
     for i, t, *_ in rows:
@@ -119,13 +142,14 @@ def test_tree_loses_no_pair():
     assert got == want and want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [1_000_000, 4])
+def test_components(spark, hot):
     r = random.Random(7)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(k, k + 1) for k in range(400, 440)] + [(500, 500 + k) for k in range(50)]
     u = Union(range(600))
     for a, b in edges:
         u.join(a, b)
-    got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long"), hot_edges=hot).collect()}
     assert got == {x: u.top(x) for e in edges for x in e if e[0] != e[1]} | {k: v for k, v in got.items() if u.top(k) == v}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
@@ -174,3 +198,18 @@ def test_suffix_arrays():
 def test_ngram_join_of_rows_without_id(spark):
     out = ngram_join.near_duplicates(frame(spark, [(None, "a b c d", "", "", 0), (None, "a b c d", "", "", 0), (4, "a b c d", "", "", 0), (4, "a b c d", "", "", 0)]), 3, 90, 100)
     assert sorted((x.doc_id is None, x.n_shingles, x.component_id) for x in out.collect()) == [(False, 2, 4)] * 2 + [(True, 2, 4)] * 2
+
+
+def test_suffix_dedup_row_by_row(spark):
+    """Rows that share an id lose their own bytes only; rows without an id and equal rows take part; long texts cross slices."""
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    shared, a, b = text(300), text(500), text(500)
+    rows = [(1, a + shared), (1, b), (None, text(100) + shared), (2, b[:250]), (3, a[:150]), (4, "same" * 60), (4, "same" * 60), (None, None)]
+    df = spark.createDataFrame([(*x, k, "z") for k, x in enumerate(rows)], "doc_id long, text string, key int, anchor string").repartition(3)
+    got = sorted(str((x.doc_id, x.n_bytes, x.n_removed, x.kept_sha256)) for x in suffix_dedup.remove_repeats(df).collect())
+    want = repeats_by_hand([(k, t) for k, (_, t) in enumerate(rows)], 200)
+    assert got == sorted(str((rows[k][0], *(w[i] for i in (0, 1, 3)))) for k, w in want.items())
+    long = "".join(f"{k:07x}" for k in range(700_000))  # longer than two slices; nothing repeats
+    out = suffix_dedup.remove_repeats(spark.createDataFrame([(1, long + shared), (2, shared[:210])], "doc_id long, text string")).collect()
+    assert {x.doc_id: x.n_removed for x in out} == {1: 210, 2: 210}

@@ -9,7 +9,7 @@ from lexmill.functions import scores as S
 from lexmill.functions import text as T
 from lexmill.operators import dedup, evaluation, joins, leakage, personal, sampling, scoring, validate
 from lexmill.plans.registry import QUERIES, SQL, query
-from lexmill.session import table
+from lexmill.session import dealt, table
 from lexmill.sources import records
 from lexmill.streaming import events
 
@@ -21,7 +21,7 @@ _ORDER = "sha256(concat('3407:', doc_id))"
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return dealt(table(spark, d, "documents"))
 
 
 # ---- keys, normal forms, deduplication
@@ -662,7 +662,7 @@ def event_latency(spark, d):
 @query(r"""select page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) as title,
     sha256(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) as text_sha256 from pages""")
 def html_title_text(spark, d):
-    return table(spark, d, "pages").select("page_id", records.html_title("html").alias("title"), F.sha2(records.html_text("html"), 256).alias("text_sha256"))
+    return dealt(table(spark, d, "pages")).select("page_id", records.html_title("html").alias("title"), F.sha2(records.html_text("html"), 256).alias("text_sha256"))
 
 
 def _sql_hits(markers: tuple[str, ...]) -> str:
@@ -697,7 +697,26 @@ def pii_alerts(spark, d):
     return personal.alerts(docs(spark, d), "doc_id", ["text"])
 
 
-@query()
+# DuckDB's patterns can't look around a match: they take its neighbours instead, in texts whose other characters are all doubled
+_OUTSIDE = r"[^\pL\pN_]"
+_ALERT_SQL = {
+    "email": ("text", r"(?i)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"),
+    "phone_international": ("words", rf"(?:^|{_OUTSIDE})(?:\+\+|00)[0-9]{{1,3}}(?:[\s().-]*[0-9]{{2,4}}){{2,6}}(?:{_OUTSIDE}|$)"),
+    "phone_french": ("digits", r"(?:^|[^0-9])0[1-9](?:(?:[\s.-]{2})?[0-9]{2}){4}(?:[^0-9]|$)"),
+    "ip_address": ("text", _IP),
+    "url": ("text", r"(?i)\b(?:https?://|www\.)[^\s<>\"]+"),
+    "date_numeric": ("digits", r"(?:^|[^0-9])(?:[0-9]{1,2}[/-]{2}[0-9]{1,2}[/-]{2}[0-9]{2,4}|[0-9]{4}[/-]{2}[0-9]{1,2}[/-]{2}[0-9]{1,2})(?:[^0-9]|$)"),
+    "date_month_year": ("text", personal.PATTERNS["date_month_year"]),
+    "social_security_like": ("digits", r"(?:^|[^0-9])[0-9]{3}[-\s]{2}[0-9]{2}[-\s]{2}[0-9]{4}(?:[^0-9]|$)"),
+    "us_zip_code": ("digits", r"(?:^|[^0-9])[0-9]{5}(?:--[0-9]{4})?(?:[^0-9]|$)"),
+    "french_postal_code": ("digits", r"(?:^|[^0-9])(?:0[1-9]|[1-8][0-9]|9[0-5]|2AA|2BB)(?:\s\s)?[0-9]{3}(?:[^0-9]|$)"),
+}
+_ALERT_ROWS = " union all ".join(f"select doc_id, '{k}' as type, len(regexp_extract_all({c}, '{p}')) as n from t" for k, (c, p) in _ALERT_SQL.items())
+
+
+@query(rf"""with t as (select doc_id, text, regexp_replace(text, '({_OUTSIDE})', '\1\1', 'g') as words, regexp_replace(text, '([^0-9])', '\1\1', 'g') as digits from documents),
+    a as ({_ALERT_ROWS})
+    select type, cast(sum(n) as bigint) as n, count(*) as n_documents from a where n > 0 group by type""")
 def pii_alert_counts(spark, d):
     a = personal.alerts(docs(spark, d), "doc_id", ["text"])
     return a.groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_documents")).orderBy(F.desc("n"), "type")

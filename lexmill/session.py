@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,13 +29,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and go on from the files.
+def dealt(df: DataFrame) -> DataFrame:
+    """A table just read; one that fits a single split, in fewer files than there are cores, is dealt over all cores.
 
-    The folder is the session's spark.checkpoint.dir; one is set here only
-    where the session names none, as in local tests.
+    Parquet is split at row groups only, so a small table of one file would be the work of one core. The shuffle is
+    bounded by the size of a split; larger tables are left as they are.
     """
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores) if size < split and len(df.inputFiles()) < cores else df
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared checkpoint folder and go on from the files."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; else a folder of the warehouse, or for a local master, as in tests, a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        named = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+    return named or os.path.join(tempfile.gettempdir(), "checkpoints")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexmill.session import cut, table
 
-__all__ = ["cut", "table", "small_batches", "whole_runs", "looked_up", "bit_filter", "passes", "components"]
+__all__ = ["cut", "table", "small_batches", "release", "whole_runs", "looked_up", "bit_filter", "passes", "components"]
 
 #: Rows of an Arrow batch of whole documents; bounds a Python worker's memory.
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
@@ -23,6 +24,15 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def release() -> None:
+    """Give memory that a Python worker no longer uses back to the system; workers are kept and do other work next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def whole_runs(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Batches of whole runs of rows that agree in the first k columns, with the runs' starts; the rows come in order."""
     left = None

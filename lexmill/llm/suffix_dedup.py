@@ -17,11 +17,12 @@ documents, overlapping occurrences count, and everything is judged on the input.
    the hashes of its single windows are counted instead, dealt out by hash.
 4. The repeated ranges are joined to their documents and cut out.
 
-Null and empty texts have no bytes; texts under `size` bytes stay whole. Ids
-should be unique; rows that share an id are treated as one document, all with
-the ranges of each. Rows without an id stay as they are. Empty tables give
-empty results; columns other than the key and the text are not read. Texts of
-any length are scanned in overlapping slices.
+Null and empty texts have no bytes; texts under `size` bytes stay whole. A row
+is known by its id and its text: rows that share an id are documents of their
+own, rows equal in both are copies and lose what they repeat. Rows without an
+id take part like others. Empty tables give empty results; columns other than
+the key and the text are not read. Texts of any length are scanned in
+overlapping slices.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.bytescan import U64, blocks, mix, prefix_hash, range_hash
-from lexmill.llm.common import cut, small_batches
+from lexmill.llm.common import cut, looked_up, release, small_batches
 from lexmill.llm.suffixes import repeated
 
 SIZE, GRAM = 200, 48
@@ -85,12 +86,12 @@ def segments(buf: np.ndarray, offs: np.ndarray, size: int = SIZE, gram: int = GR
 
 def _segments(batches: Iterator[pa.RecordBatch], size: int, gram: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        for i, _, buf, offs in blocks(batch.column(1)):
+        for i, _, buf, offs in blocks(batch.column(2)):
             doc, a, b, anchor, contents = segments(buf, offs, size, gram)
+            row = pa.array(i + doc)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (anchor.view(np.int64), contents.view(np.int64), keys[i + doc], a.astype(np.int64), b.astype(np.int64))],
-                ["anchor", "contents", "key", "a", "b"],
+                [*(pa.array(x.view(np.int64)) for x in (anchor, contents)), batch.column(0).take(row), batch.column(1).take(row), *(pa.array(x.astype(np.int64)) for x in (a, b))],
+                ["anchor", "contents", "key", "text_id", "a", "b"],
             )
 
 
@@ -98,12 +99,12 @@ def _cut_out(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
     """The bytes of the wanted segments."""
     for batch in batches:
         rows: list[tuple] = []
-        for key, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for key, text_id, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             data = (text or "").encode()
             for w in wanted:
-                rows.append((w["anchor"], w["hot"], key, w["a"], data[w["a"] : w["b"] + size]))
-        types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["anchor", "hot", "key", "a", "data"])
+                rows.append((w["anchor"], w["hot"], key, text_id, w["a"], data[w["a"] : w["b"] + size]))
+        types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["anchor", "hot", "key", "text_id", "a", "data"])
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,14 +114,14 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shards(batches: Iterator[pa.RecordBatch], size: int, shard_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Repeated window ranges of rows (anchor, key, a, data), which come sorted by anchor."""
+    """Repeated window ranges of rows (anchor, key, text_id, a, data), which come sorted by anchor."""
     held: list[tuple] = []
     n, name = 0, None
 
     def flush() -> pa.RecordBatch:
-        text = np.frombuffer(b"\xff".join(h[3] for h in held), np.uint8)  # no text holds the byte FF
-        starts = np.concatenate([[0], np.cumsum([len(h[3]) + 1 for h in held])])
-        flags = repeated(text, size, 2 * max(len(h[3]) for h in held) + 2)
+        text = np.frombuffer(b"\xff".join(h[4] for h in held), np.uint8)  # no text holds the byte FF
+        starts = np.concatenate([[0], np.cumsum([len(h[4]) + 1 for h in held])])
+        flags = repeated(text, size, 2 * max(len(h[4]) for h in held) + 2)
         inside = np.zeros(len(text) + 1, bool)
         windows = starts[1:] - size  # one past each segment's last window
         np_idx = np.zeros(len(text) + 2, np.int32)
@@ -129,8 +130,9 @@ def _shards(batches: Iterator[pa.RecordBatch], size: int, shard_bytes: int) -> I
         inside[: len(text)] = np.cumsum(np_idx)[: len(text)] > 0
         a, b = _runs(flags & inside[: len(text)])
         k = np.searchsorted(starts, a, "right") - 1
-        keys, base = np.array([h[1] for h in held], np.int64), np.array([h[2] for h in held], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(keys[k]), pa.array(base[k] + a - starts[k]), pa.array(base[k] + b - starts[k])], ["key", "a", "b"])
+        names = [pa.array([h[c] for h in held], pa.int64()).take(pa.array(k)) for c in (1, 2)]
+        base = np.array([h[3] for h in held], np.int64)
+        return pa.RecordBatch.from_arrays([*names, pa.array(base[k] + a - starts[k]), pa.array(base[k] + b - starts[k])], ["key", "text_id", "a", "b"])
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -139,51 +141,59 @@ def _shards(batches: Iterator[pa.RecordBatch], size: int, shard_bytes: int) -> I
                 held, n = [], 0
             name = row[0]
             held.append(row)
-            n += len(row[3]) + 1
+            n += len(row[4]) + 1
     if held:
         yield flush()
+    held = []
+    release()
 
 
 def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """(window, key, a) of every window of the segments."""
+    """(window, key, text_id, a) of every window of the segments."""
     for batch in batches:
-        for key, a, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for key, text_id, a, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             buf = np.frombuffer(data, np.uint8)
             at = np.arange(len(buf) - size + 1)
             h = range_hash(prefix_hash(buf), at, at + size).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(at), key)), pa.array(a + at)], ["window", "key", "a"])
+            names = [pa.array([x], pa.int64()).take(pa.array(np.zeros(len(at), np.int64))) for x in (key, text_id)]
+            yield pa.RecordBatch.from_arrays([pa.array(h), *names, pa.array(a + at)], ["window", "key", "text_id", "a"])
 
 
 def repeated_ranges(
     df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM, hot: int = HOT, shard_bytes: int = SHARD_BYTES
 ) -> DataFrame:
-    """(key, a, b): runs of window starts, both ends included, whose windows also start elsewhere."""
+    """(key, text_id, a, b): runs of window starts, both ends included, whose windows also start elsewhere."""
     spark = df.sparkSession
     small_batches(spark)
-    src = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    found = src.mapInArrow(lambda it: _segments(it, size, gram), "anchor long, contents long, key long, a long, b long")
+    src = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    src = src.select("key", F.xxhash64("text").alias("text_id"), "text")
+    found = src.mapInArrow(lambda it: _segments(it, size, gram), "anchor long, contents long, key long, text_id long, a long, b long")
     shared = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("contents").alias("low"), F.max("contents").alias("high"))
-    shared = shared.where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed"))
-    rows = cut(found.join(shared, "anchor"))
+    # of the segments only those with a shared anchor are shuffled; both sides are written, so that a very frequent anchor can be split
+    rows = cut(looked_up(found, shared.where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed")), ["anchor"]))
 
-    kinds = rows.where("mixed").groupBy("anchor", "contents").agg(F.count("*").alias("copies"), F.min(F.struct("key", "a", "b")).alias("one"))
+    place = ("key", "text_id", "a", "b")
+    kinds = rows.where("mixed").groupBy("anchor", "contents").agg(F.count("*").alias("copies"), F.min(F.struct(*place)).alias("one"))
     kinds = cut(kinds)
-    several = kinds.where("copies > 1").select("anchor", "contents")
-    whole = rows.where("not mixed").select("key", "a", "b").union(
-        rows.where("mixed").join(several, ["anchor", "contents"], "left_semi").select("key", "a", "b")
+    several = cut(kinds.where("copies > 1").select("anchor", "contents"))
+    whole = rows.where("not mixed").select(*place).union(
+        rows.where("mixed").join(several, ["anchor", "contents"], "left_semi").select(*place)
     )
-    per_anchor = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    wanted = kinds.join(per_anchor, "anchor").select("one.key", F.struct("anchor", (F.col("kinds") > hot).alias("hot"), "one.a", "one.b").alias("w"))
-    wanted = wanted.groupBy("key").agg(F.collect_list("w").alias("wanted"))
-    pieces = src.join(wanted, "key").select("key", "text", "wanted").mapInArrow(
-        lambda it: _cut_out(it, size), "anchor long, hot boolean, key long, a long, data binary"
+    # each takes more than `hot` segments, so they are few
+    over = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > hot).select("anchor", F.lit(True).alias("hot"))
+    wanted = kinds.join(F.broadcast(over), "anchor", "left")
+    wanted = wanted.select("one.key", "one.text_id", F.struct("anchor", F.coalesce("hot", F.lit(False)).alias("hot"), "one.a", "one.b").alias("w"))
+    wanted = wanted.groupBy("key", "text_id").agg(F.collect_list("w").alias("wanted"))
+    pieces = looked_up(src, wanted, ["key", "text_id"]).select("key", "text_id", "text", "wanted").mapInArrow(
+        lambda it: _cut_out(it, size), "anchor long, hot boolean, key long, text_id long, a long, data binary"
     )
     pieces = cut(pieces)
-    cold = pieces.where("not hot").select("anchor", "key", "a", "data").repartition("anchor").sortWithinPartitions("anchor")
-    parts = cold.mapInArrow(lambda it: _shards(it, size, shard_bytes), "key long, a long, b long")
-    single = pieces.where("hot").select("key", "a", "data").mapInArrow(lambda it: _windows(it, size), "window long, key long, a long")
+    names = ("key", "text_id", "a", "data")
+    cold = pieces.where("not hot").select("anchor", *names).repartition("anchor").sortWithinPartitions("anchor")
+    parts = cold.mapInArrow(lambda it: _shards(it, size, shard_bytes), "key long, text_id long, a long, b long")
+    single = pieces.where("hot").select(*names).mapInArrow(lambda it: _windows(it, size), "window long, key long, text_id long, a long")
     twice = single.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    single = single.join(twice, "window", "left_semi").select("key", "a", F.col("a").alias("b"))
+    single = single.join(twice, "window", "left_semi").select("key", "text_id", "a", F.col("a").alias("b"))
     return whole.union(parts).union(single)
 
 
@@ -217,9 +227,10 @@ def remove_repeats(
 
     kept holds the remaining bytes; cutting may split a character, so they need not be text.
     """
-    ranges = repeated_ranges(df, key, text, size, **options).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    src = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    full = src.join(ranges.withColumnRenamed("key", "__key"), F.col("key").cast("long") == F.col("__key"), "left").select("key", "text", "ranges")
+    ranges = repeated_ranges(df, key, text, size, **options).groupBy("key", "text_id").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
+    src = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    src = src.withColumn("text_id", F.xxhash64("text"))
+    full = looked_up(src, ranges, ["key", "text_id"], "left").select("key", "text", "ranges")  # documents without repeats stay where they are
     schema = f"key {src.schema['key'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema += ", kept binary, spans array<long>" if whole else ""
     return full.mapInArrow(lambda it: _kept(it, size, whole), schema).withColumnRenamed("key", key)

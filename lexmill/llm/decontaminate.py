@@ -3,19 +3,23 @@
 A window is `size` consecutive words of an item (all of them, if it has fewer).
 A document holds a window only if it holds all its words, so of a window's
 words, ordered by how many documents hold them, the rarest alone is a
-sufficient prefix: documents' words are joined with these prefix words, the
-word's place in the window and the document's ends bound where the window can
-lie, and the whole window is compared there.
+sufficient prefix.
 
-The windows go to the tasks in shares of at most `share_windows`, so what a
-task holds is bounded however large the benchmark is; with several shares the
-documents are read once for each and the spans are merged by document.
+1. One scan of the documents counts, for the benchmark's words, the documents
+   that hold them; each window gets its rarest word and that word's place in it.
+2. A second scan sends each place of a prefix word where a window can lie: it
+   has to fit between the document's ends, and its hash has to be one of a
+   window's. Both tests use bit filters of a fixed size, so a task holds as much
+   for any benchmark and the documents are read twice at every size.
+3. What was sent is joined with the windows by prefix word, place and length, and
+   all words are compared. A word of any frequency costs a document one row.
 
 Null, empty or wordless texts and items have no words, no windows and no hits.
-Equal items count apart, equal windows within an item once; repeated document
-rows give repeated results (with several shares: rows of one id should be
-unique); ties in rarity are broken by the word's hash, which changes no result.
-Empty tables give no rows or no hits. Further columns are not read.
+Equal items count apart, equal windows within an item once; every document row
+gives one result of its own, whether ids repeat or are null; items without an
+id hit words but are not listed; ties in rarity are
+broken by the word's hash, which changes no result. Empty tables give no rows
+or no hits. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -27,14 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.bytescan import LOWER, blocks, byte_class, word_hashes
-from lexmill.llm.common import cut, small_batches
+from lexmill.llm.bytescan import LOWER, U64, blocks, byte_class, mix, word_hashes
+from lexmill.llm.common import bit_filter, cut, passes, small_batches
 
 #: [^\x00-\x2F\x3A-\x60\x7B-\x7F] after lower-casing A-Z
 WORD_BYTES = byte_class((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 SIZE = 10
-#: Windows of a share: about 100 bytes each in every task, some more on the driver while it is built.
-SHARE_WINDOWS = 200_000
+#: Bits of the filters of words, prefix words and windows: 2 MB each, whatever the benchmark.
+BITS = 1 << 24
+_MULT = np.random.default_rng(11).integers(1, 2**63, 64, dtype=U64) | U64(1)
 
 
 def _words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -43,112 +48,115 @@ def _words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield (i, *word_hashes(LOWER[buf], offs, WORD_BYTES))
 
 
+def _window_hashes(w: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n words from each place where so many are left."""
+    out = np.full(max(0, len(w) - n + 1), n, U64)
+    for k in range(n):
+        out = out + w[k : k + len(out)] * _MULT[k % 64] * U64(2 * (k // 64) + 1)
+    return mix(out)
+
+
 def _item_windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, wins = [], []
+        ids, wins, names = [], [], []
         for row, w, at in _words(batch.column(1)):
             for k in range(len(at) - 1):
-                own = w[at[k] : at[k + 1]].view(np.int64)
+                own = w[at[k] : at[k + 1]]
                 n = min(size, len(own))
                 if n:
-                    uniq = np.unique(np.lib.stride_tricks.sliding_window_view(own, n), axis=0)
+                    uniq = np.unique(np.lib.stride_tricks.sliding_window_view(own.view(np.int64), n), axis=0)
                     ids += [batch.column(0)[row + k].as_py()] * len(uniq)
                     wins += list(uniq)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(wins, pa.list_(pa.int64()))], ["item", "win"])
+                    names += [_window_hashes(u.view(U64), n).view(np.int64)[0] for u in uniq]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.string()), pa.array(wins, pa.list_(pa.int64())), pa.array(names, pa.int64())], ["item", "win", "name"]
+        )
 
 
 def windows(benchmark: DataFrame, size: int, item: str, text: str) -> DataFrame:
-    """(item, win): the distinct windows of each item as arrays of word hashes."""
-    src = benchmark.select(F.col(item).alias("item"), F.col(text).cast("string").alias("text"))
-    kind = src.schema["item"].dataType.simpleString()
-    return src.mapInArrow(lambda it: _item_windows(it, size), f"item {kind}, win array<long>")
+    """(items, win, name): the distinct windows as arrays of word hashes, with the items that hold them and a hash of the whole."""
+    src = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text"))
+    each = src.mapInArrow(lambda it: _item_windows(it, size), "item string, win array<long>, name long")
+    return each.groupBy("win", "name").agg(F.collect_set("item").alias("items"))
 
 
 def _document_frequency(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
-    known = vocabulary.value
-    seen = np.zeros(len(known), np.int64)
-    gate = np.zeros(1 << 16, bool)
-    gate[known >> np.uint64(48)] = True
+    """(word, df) of the words that pass the filter, counted over each batch."""
     for batch in batches:
+        found = []
         for _, w, at in _words(batch.column(0)):
-            p = np.flatnonzero(gate[w >> np.uint64(48)])
-            k = np.minimum(np.searchsorted(known, w[p]), max(len(known) - 1, 0))
-            good = known[k] == w[p]
-            p, k = p[good], k[good]
+            p = np.flatnonzero(passes(vocabulary.value, w))
             doc = np.searchsorted(at, p, "right")
-            seen += np.bincount(np.unique(doc * len(known) + k) % len(known), minlength=len(known))
-    hit = np.flatnonzero(seen)
-    yield pa.RecordBatch.from_arrays([pa.array(known[hit].view(np.int64)), pa.array(seen[hit])], ["word", "df"])
-
-
-class Index:
-    """Windows by their prefix word: the rarest one and its place."""
-
-    def __init__(self, items: list, wins: list[list[int]], df: dict[int, int]) -> None:
-        lead = [min(range(len(w)), key=lambda k: (df.get(w[k], 0), w[k])) for w in wins]
-        token = np.array([w[k] for w, k in zip(wins, lead, strict=True)], np.int64).view(np.uint64)
-        order = np.argsort(token, kind="stable")
-        self.items = [items[k] for k in order]
-        self.lead = np.array(lead, np.int64)[order]
-        self.length = np.array([len(w) for w in wins], np.int64)[order]
-        self.start = np.concatenate([[0], np.cumsum(self.length)])
-        self.flat = np.concatenate([np.array(wins[k], np.int64) for k in order] or [np.zeros(0, np.int64)]).view(np.uint64)
-        self.tokens, self.first = np.unique(token[order], return_index=True)
-        self.first = np.append(self.first, len(token))
-        self.gate = np.zeros(1 << 16, bool)
-        self.gate[self.tokens >> np.uint64(48)] = True
-
-    def find(self, w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Documents, window starts and windows that occur."""
-        none = np.zeros(0, np.int64)
-        if not len(self.tokens):
-            return none, none, none
-        p = np.flatnonzero(self.gate[w >> np.uint64(48)])
-        k = np.minimum(np.searchsorted(self.tokens, w[p]), len(self.tokens) - 1)
-        good = self.tokens[k] == w[p]
-        p, k = p[good], k[good]
-        many = self.first[k + 1] - self.first[k]
-        win = np.repeat(self.first[k] - np.concatenate([[0], np.cumsum(many)[:-1]]) if len(k) else none, many) + np.arange(many.sum())
-        p = np.repeat(p, many)
-        doc = np.searchsorted(at, p, "right") - 1
-        begin = p - self.lead[win]
-        good = (begin >= at[doc]) & (begin + self.length[win] <= at[doc + 1])
-        doc, begin, win = doc[good], begin[good], win[good]
-        for step in range(int(self.length.max(initial=0))):
-            inside = step < self.length[win]
-            good = ~inside
-            good[inside] = w[begin[inside] + step] == self.flat[self.start[win[inside]] + step]
-            doc, begin, win = doc[good], begin[good], win[good]
-        return doc, begin, win
-
-
-def _find(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch]:
-    index = index.value
+            order = np.lexsort((w[p], doc))
+            own, doc = w[p][order], doc[order]
+            found.append(own[np.concatenate([[True], (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])])] if len(own) else own)
+        word, df = np.unique(np.concatenate(found) if found else np.zeros(0, U64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(df.astype(np.int64))], ["word", "df"])
+
+
+def prefixes(wins: DataFrame, df: DataFrame) -> DataFrame:
+    """(word, lead, n, name, win, items): each window at its rarest word and that word's place."""
+    each = wins.select("win", "name", F.posexplode("win").alias("lead", "word")).join(df, "word", "left")
+    rarest = F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word", "lead")).alias("first")
+    first = each.groupBy("win", "name").agg(rarest)
+    return wins.join(first, ["win", "name"]).select("first.word", "first.lead", F.size("win").alias("n"), "name", "win", "items")
+
+
+_SENT = "key {}, text_id long, n_words long, word long, lead int, n int, name long, begins array<int>, win array<long>"
+
+
+def _sent(batches: Iterator[pa.RecordBatch], lengths: list[int], leading, named) -> Iterator[pa.RecordBatch]:
+    """A row with n_words for each document, and a row for each prefix word at which a window of a document can lie.
+
+    Equal windows of a document are one row with all their places.
+    """
+    for batch in batches:
+        rows: list[tuple] = []
+        for first, w, at in _words(batch.column(2)):
+            rows += [(first + d, int(n), None, None, None, None, None, None) for d, n in enumerate(np.diff(at))]
+            for n in lengths:
+                name = _window_hashes(w, n)
+                begin = np.flatnonzero(passes(named.value, name))
+                doc = np.searchsorted(at, begin, "right") - 1
+                fits = begin + n <= at[doc + 1]
+                begin, doc = begin[fits], doc[fits]
+                if not len(begin):
+                    continue
+                name = name[begin]
+                order = np.lexsort((begin, name, doc))
+                begin, doc, name = begin[order], doc[order], name[order]
+                cuts = np.flatnonzero((doc[1:] != doc[:-1]) | (name[1:] != name[:-1])) + 1
+                for places in np.split(np.arange(len(begin)), cuts):
+                    k = places[0]
+                    win = w[begin[k] : begin[k] + n]
+                    d = int(doc[k])
+                    own = (begin[places] - at[d]).tolist()
+                    for lead in np.flatnonzero(passes(leading.value, win)).tolist():
+                        rows.append((first + d, None, int(win[lead].view(np.int64)), lead, n, int(name[k].view(np.int64)), own, win.view(np.int64).tolist()))
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+        at = pa.array([r[0] for r in rows], pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(at), batch.column(1).take(at), *(pa.array([r[k + 1] for r in rows], t) for k, t in enumerate(types))],
+            ["key", "text_id", "n_words", "word", "lead", "n", "name", "begins", "win"],
+        )
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n_words, spans, items) of rows (key, n_words, found), found being lists of (begins, n, items)."""
     for batch in batches:
-        n_words, spans, items = [], [], []
-        for _, w, at in _words(batch.column(1)):
-            n_words.append(np.diff(at))
-            doc, begin, win = index.find(w, at)
-            own: dict[int, tuple[list, set]] = {}
-            for d, b, k in zip(doc.tolist(), begin.tolist(), win.tolist(), strict=True):
-                s, i = own.setdefault(d, ([], set()))
-                s.append((b - int(at[d]), b - int(at[d]) + int(index.length[k])))
-                i.add(index.items[k])
-            for d in range(len(at) - 1):
-                s, i = own.get(d, ((), ()))
-                spans.append(_merge(s))
-                items.append(sorted(map(str, i)))
-        counts = np.concatenate(n_words) if n_words else np.zeros(0, np.int64)
-        flat = [[x for span in s for x in span] for s in spans]
+        spans, items = [], []
+        for found in batch.column(2).to_pylist():
+            found = found or ()
+            spans.append([x for s in _merge((b, b + f["n"]) for f in found for b in f["begins"]) for x in s])
+            items.append(sorted({i for f in found for i in f["items"]}))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(counts, pa.int64()), pa.array(flat, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
-            ["key", "n_words", "spans", "items"],
+            [batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["key", "n_words", "spans", "items"]
         )
 
 
 def _merge(spans) -> list[tuple[int, int]]:
     out: list[list[int]] = []
-    for a, b in sorted(set(spans)):
+    for a, b in sorted({*spans}):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -158,7 +166,7 @@ def _merge(spans) -> list[tuple[int, int]]:
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
-    item_text: str = "text", size: int = SIZE, share_windows: int = SHARE_WINDOWS,
+    item_text: str = "text", size: int = SIZE,
 ) -> DataFrame:
     """(key, n_words, spans, items) of each document row.
 
@@ -167,34 +175,23 @@ def contamination(
     """
     spark = docs.sparkSession
     small_batches(spark)
-    wins = cut(windows(benchmark, size, item, item_text))
-    n = wins.count()
-    shares = max(1, -(-n // share_windows))
     src = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    schema = f"key {src.schema['key'].dataType.simpleString()}, n_words long, spans array<long>, items array<string>"
-    found = []
-    for k in range(shares):
-        part = wins.where(F.pmod(F.xxhash64("win"), F.lit(shares)) == k).toPandas()  # a bounded share
-        all_wins = [list(map(int, w)) for w in part["win"]]
-        vocabulary = np.unique(np.array([x for w in all_wins for x in w], np.int64).view(np.uint64))
-        df: dict[int, int] = {}
-        if len(vocabulary):
-            shared = spark.sparkContext.broadcast(vocabulary)
-            counts = src.select("text").mapInArrow(lambda it, v=shared: _document_frequency(it, v), "word long, df long")
-            df = {r["word"]: r["df"] for r in counts.groupBy("word").agg(F.sum("df").alias("df")).collect()}
-        index = spark.sparkContext.broadcast(Index(list(part["item"]), all_wins, df))
-        found.append(src.mapInArrow(lambda it, x=index: _find(it, x), schema))
-    if shares == 1:
-        return found[0].withColumnRenamed("key", key)
-    merge = F.udf(lambda many: [x for span in _merge([s for one in many for s in zip(one[::2], one[1::2], strict=True)]) for x in span], "array<long>")
-    both = found[0]
-    for other in found[1:]:
-        both = both.union(other)
-    return (
-        both.groupBy("key")
-        .agg(F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-        .select(F.col("key").alias(key), "n_words", merge("spans").alias("spans"), F.array_sort(F.array_distinct("items")).alias("items"))
-    )
+    src = src.select("key", F.xxhash64("text").alias("text_id"), "text")
+    kind = src.schema["key"].dataType.simpleString()
+    wins = cut(windows(benchmark, size, item, item_text))
+    lengths = [r[0] for r in wins.select(F.size("win")).distinct().orderBy(F.size("win")).collect()]  # at most `size` numbers
+    vocabulary = bit_filter(wins.select(F.explode("win").alias("h")), BITS)
+    counted = src.select("text").mapInArrow(lambda it: _document_frequency(it, vocabulary), "word long, df long")
+    lead = cut(prefixes(wins, counted.groupBy("word").agg(F.sum("df").alias("df"))))
+    leading, named = bit_filter(lead.select(F.col("word").alias("h")), BITS), bit_filter(lead.select(F.col("name").alias("h")), BITS)
+    sent = cut(src.mapInArrow(lambda it: _sent(it, lengths, leading, named), _SENT.format(kind)))
+    hits = sent.where("word is not null").drop("n_words").alias("d").join(lead.alias("w"), ["word", "lead", "n", "name"])
+    hits = hits.where(F.col("d.win") == F.col("w.win"))
+    found = hits.groupBy("key", "text_id").agg(F.collect_set(F.struct("begins", "n", "items")).alias("found"))
+    found = found.select(F.col("key").alias("own"), F.col("text_id").alias("own_text"), "found")
+    rows = sent.where("word is null").select("key", "text_id", "n_words")
+    rows = rows.join(found, F.col("key").eqNullSafe(F.col("own")) & (F.col("text_id") == F.col("own_text")), "left").select("key", "n_words", "found")
+    return rows.mapInArrow(_merged, f"key {kind}, n_words long, spans array<long>, items array<string>").withColumnRenamed("key", key)
 
 
 def contamination_digest(found: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -52,14 +52,33 @@ def jvm(pattern: str) -> str:
     return "(?U)" + "".join(out)
 
 
+#: What every match of a pattern holds, cheap to look for: most texts have none and are left at that. Others hold a digit.
+NEEDED = {"email": "@", "url": "(?i)http|www", "phone_international": r"\+|00"}
+
+
+def _can_hold(text: Column, name: str) -> Column:
+    return text.contains("@") if name == "email" else text.rlike(NEEDED.get(name, r"(?U)\d"))
+
+
+def _with(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a column that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _of(f: Callable[[Column, str], Column], name: str) -> Callable[[Column], Column]:
+    return lambda x: f(x, name)
+
+
 def counts(text: Column, names: list[str] | None = None) -> dict[str, Column]:
     """Number of matches of each pattern, without leaving the JVM."""
-    return {n: F.regexp_count(F.coalesce(text, F.lit("")), F.lit(jvm(PATTERNS[n]))).cast("long") for n in names or PATTERNS}
+    x = F.coalesce(text, F.lit(""))
+    return {n: F.when(_can_hold(x, n), F.regexp_count(x, F.lit(jvm(PATTERNS[n])))).otherwise(0).cast("long") for n in names or PATTERNS}
 
 
 def flags(text: Column, names: list[str]) -> Column:
     """Names of the patterns that occur."""
-    found = F.array(*(F.when(F.coalesce(text, F.lit("")).rlike(jvm(PATTERNS[n])), F.lit(n)) for n in names))
+    x = F.coalesce(text, F.lit(""))
+    found = F.array(*(F.when(_can_hold(x, n) & x.rlike(jvm(PATTERNS[n])), F.lit(n)) for n in names))
     return F.filter(found, lambda x: x.isNotNull())
 
 
@@ -95,16 +114,21 @@ def _starred(match: Column, after: Column) -> Column:
 
 def anonymised(text: Column, strategy: str = "replace", entities: tuple[str, ...] = tuple(ENTITY_PATTERNS)) -> Column:
     """Text with the entities replaced by their token, masked by as many stars, or removed."""
-    out = text
-    for e in entities:
-        pattern = jvm(PATTERNS[ENTITY_PATTERNS[e]])
+
+    def without(x: Column, entity: str) -> Column:
+        pattern = jvm(PATTERNS[ENTITY_PATTERNS[entity]])
         if strategy == "mask":
             # matches and the text between them, put together with stars of each match's length
-            hits = F.regexp_extract_all(out, F.lit(pattern), 0)
-            rest = F.split(out, pattern, -1)
-            out = F.concat(F.get(rest, F.lit(0)), F.array_join(F.zip_with(hits, F.slice(rest, 2, F.size(hits)), _starred), ""))
+            hits = F.regexp_extract_all(x, F.lit(pattern), 0)
+            rest = F.split(x, pattern, -1)
+            new = F.concat(F.get(rest, F.lit(0)), F.array_join(F.zip_with(hits, F.slice(rest, 2, F.size(hits)), _starred), ""))
         else:
-            out = F.regexp_replace(out, pattern, "" if strategy == "redact" else TOKENS[e].replace("[", r"\["))
+            new = F.regexp_replace(x, pattern, "" if strategy == "redact" else TOKENS[entity].replace("[", r"\["))
+        return F.when(_can_hold(x, ENTITY_PATTERNS[entity]), new).otherwise(x)
+
+    out = text
+    for e in entities:
+        out = _with(out, _of(without, e))
     return out
 
 

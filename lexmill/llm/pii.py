@@ -3,9 +3,10 @@
 The base patterns (e-mail, address of a host, card, phone) are matched leftmost
 and without overlap per kind over the whole text. A bidirectional LSTM with CRF
 transitions, trained here in numpy on labelled spans, adds spans of the same
-kinds in other spellings (a phone without a plus, spaced or bracketed parts). A
-span of any kind holds a digit or an at sign, so the tagger reads exactly the
-windows that hold one; windows overlap by half. Each is decoded by itself. Spans
+kinds in other spellings (a phone without a plus, spaced or bracketed parts) and
+secrets: keys, tokens and passwords that a text gives a value to. A span of any
+kind holds a digit or an at sign, so the tagger reads exactly the windows that
+hold one; windows overlap by half. Each is decoded by itself. Spans
 cut off by a window's border give way to the neighbour window's; those that no
 window holds whole are joined and decoded again in a window around them, which
 grows until its border cuts none of them. Over the whole text the decoded spans
@@ -31,10 +32,12 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import small_batches
 
-KINDS = ("email", "ip", "card", "phone")
+#: Kinds of the base patterns, and all kinds in the order of spans.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
 WINDOW, STRIDE = 64, 32
-#: Labelled examples of the training set, all generated, and its seed.
-EXAMPLES, SEED = 6000, 11
+#: Labelled examples of the training set, all generated, its seed, and steps of training.
+EXAMPLES, SEED, STEPS = 12_000, 11, 600
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+$")
@@ -111,7 +114,7 @@ def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
 class Tagger:
     """Bidirectional LSTM over character classes, and a linear-chain CRF."""
 
-    def __init__(self, hidden: int = 20, width: int = 10, seed: int = SEED) -> None:
+    def __init__(self, hidden: int = 24, width: int = 10, seed: int = SEED) -> None:
         r = np.random.default_rng(seed)
         self.h = hidden
         w = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
@@ -227,52 +230,92 @@ def _digits(r: np.random.Generator, n: int) -> str:
     return "".join(map(str, r.integers(0, 10, n)))
 
 
-def _personal(r: np.random.Generator, kind: str) -> str:
+def _checked(digits: str) -> str:
+    """The digits with a last one that makes them pass Luhn."""
+    return next(digits[:-1] + d for d in "0123456789" if luhn(digits[:-1] + d))
+
+
+def _pick(r: np.random.Generator, values):
+    return values[int(r.integers(0, len(values)))]
+
+
+_HEX, _B32 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+_NAMES = ("token", "secret", "api_key", "apikey", "api-key", "password", "passwd", "pwd", "key", "access_key", "auth_token", "client_secret")
+
+
+def _code(r: np.random.Generator) -> str:
+    """Letters and digits of a key or hash, at least one of each."""
+    letters, sizes = _pick(r, ((_HEX, (24, 32, 40, 64)), (_HEX, (32, 40)), (_B32, (16, 20, 32)), (_B64, (20, 24, 32, 44))))
+    size = _pick(r, sizes)
+    return "".join(r.choice(list(letters), size - 2)) + _pick(r, "234567") + _pick(r, letters[-22:-6])
+
+
+def _personal(r: np.random.Generator, kind: str) -> tuple[str, str, str]:
+    """What stands before a span, the span, and what stands after it."""
     if kind == "email":
-        at = ["@", "@", "@", " @ ", "(@)", "[@]"][r.integers(0, 6)]
-        dot = "." if at == "@" else [".", " . "][r.integers(0, 2)]
-        user = _word(r).lower() + [f".{_digits(r, 2)}", "_" + _word(r).lower(), ""][r.integers(0, 3)]
-        return f"{user}{at}{_word(r).lower()}{['', _digits(r, 1)][r.integers(0, 2)]}{dot}{['com', 'org', 'net', 'fr', 'de'][r.integers(0, 5)]}"
+        at = _pick(r, ("@", "@", "@", " @ ", "(@)", "[@]", " (@) "))
+        dot = "." if at == "@" else _pick(r, (".", " . "))
+        user = _word(r).lower() + _pick(r, (f".{_digits(r, 2)}", "_" + _word(r).lower(), "." + _word(r).lower(), ""))
+        host = _word(r).lower() + _pick(r, ("", _digits(r, 1), "-" + _word(r).lower()))
+        host += _pick(r, ("", "", dot + _word(r).lower()))
+        return "", f"{user}{at}{host}{dot}{_pick(r, ('com', 'org', 'net', 'fr', 'de'))}", ""
     if kind == "ip":
-        dot = [".", ".", ".", "[.]", " . "][r.integers(0, 5)]
-        return dot.join(str(x) for x in r.integers(0, 256, 4))
+        return "", _pick(r, (".", ".", "[.]", " . ", ". ")).join(str(x) for x in r.integers(0, 256, 4)), ""
     if kind == "card":
-        sep = ["", "", " ", "-", "."][r.integers(0, 5)]
-        return sep.join(_digits(r, 4) for _ in range(4))
-    lead = ["+1 ", "+33 ", "+49 ", "", "", "001 "][r.integers(0, 6)]
-    body = ["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "({}) {} {}", "{} {} {}"][r.integers(0, 5)]
-    return lead + body.format(_digits(r, 3), _digits(r, 3), _digits(r, 4))
+        sep, digits = _pick(r, ("", " ", "-", ".", "/")), _checked(_digits(r, 16))
+        return "", sep.join(digits[k : k + 4] for k in range(0, 16, 4)), ""
+    if kind == "secret":
+        name, quote = _pick(r, _NAMES), _pick(r, ('"', '"', "'", ""))
+        name = _pick(r, (name, name, name.upper()))
+        code = _code(r)
+        return f"{name}{_pick(r, (' = ', '=', ': ', ':'))}{quote}", code.upper() if name.isupper() and r.random() < 0.5 else code, quote
+    lead = _pick(r, ("+1 ", "+33 ", "+49 ", "", "", "", "001 ", "0044 "))
+    body = _pick(r, ("({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "({}) {} {}", "{} {} {}", "{}/{}-{}"))
+    return "", lead + body.format(_digits(r, 3), _digits(r, 3), _digits(r, 4)), ""
 
 
 def _harmless(r: np.random.Generator) -> str:
-    return [
+    return _pick(r, (
         lambda: _digits(r, r.integers(1, 9)), lambda: f"{r.integers(1900, 2030)}-{r.integers(1, 13):02d}-{r.integers(1, 29):02d}",
         lambda: f"{r.integers(1, 13)}:{r.integers(0, 60):02d}", lambda: f"v{r.integers(0, 9)}.{r.integers(0, 20)}.{r.integers(0, 9)}",
-        lambda: f"{r.integers(0, 999)},{_digits(r, 3)}.{_digits(r, 2)}", lambda: "".join(r.choice(list("0123456789abcdef"), 32)),
-        lambda: f"token = \"{''.join(r.choice(list('0123456789abcdef'), 24))}\"", lambda: "@" + _word(r), lambda: f"{r.integers(1, 100)} %",
-        lambda: "".join(r.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), 20)), lambda: f"CC BY-NC {r.integers(1, 5)}.0", lambda: f"({r.integers(1, 40)})",
-    ][r.integers(0, 12)]()
+        lambda: f"{r.integers(0, 999)},{_digits(r, 3)}.{_digits(r, 2)}", lambda: _code(r), lambda: f"commit {_code(r)}",
+        lambda: "@" + _word(r), lambda: f"{r.integers(1, 100)} %", lambda: f"{_pick(r, _NAMES)} {_word(r)} {_digits(r, 2)}",
+        lambda: f"CC BY-NC {r.integers(1, 5)}.0", lambda: f"({r.integers(1, 40)})", lambda: f"{_word(r)} = {_digits(r, 3)}",
+        lambda: f"{r.integers(1, 20)}.{r.integers(1, 20)}.{r.integers(1, 20)}", lambda: f"{r.integers(1, 13):02d}/{r.integers(1, 29):02d}/{r.integers(1900, 2030)}",
+    ))()
+
+
+_GAPS = (" ", " ", " ", " ", ", ", ".\n", ". ", " | ", "!! ", "### ")
+
+
+def sample(r: np.random.Generator, length: int) -> tuple[str, list[Span]]:
+    """A generated text of at least this length and its labelled spans, among words and harmless numbers."""
+    text, spans = "", []
+    while len(text) < length:
+        u = r.random()
+        if u < 0.14:
+            kind = _pick(r, KINDS)
+            before, part, after = _personal(r, kind)
+            spans.append((kind, len(text) + len(before), len(text) + len(before) + len(part)))
+            part = before + part + after
+        else:
+            part = _harmless(r) if u < 0.3 else _word(r)
+        text += part + _pick(r, _GAPS)
+    return text, spans
 
 
 def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of character classes and tags with labelled spans among words and harmless numbers."""
+    """Windows of character classes and tags out of generated texts."""
     r = np.random.default_rng(seed)
     x, y = np.zeros((n, WINDOW), np.int8), np.zeros((n, WINDOW), np.int64)
     for row in range(n):
-        text, tags = "", []
-        shift = int(r.integers(0, 40))
-        while len(text) < WINDOW + shift:
-            u = r.random()
-            if u < 0.12:
-                k = int(r.integers(0, len(KINDS)))
-                part = _personal(r, KINDS[k])
-                tags += [1 + 2 * k] + [2 + 2 * k] * (len(part) - 1)
-            else:
-                part = _harmless(r) if u < 0.3 else _word(r)
-                tags += [0] * len(part)
-            gap = [" ", " ", " ", " ", ", ", ".\n", ". ", " | "][r.integers(0, 8)]
-            text += part + gap
-            tags += [0] * len(gap)
+        shift = int(r.integers(0, 60))
+        text, spans = sample(r, WINDOW + shift)
+        tags = np.zeros(len(text), np.int64)
+        for kind, a, b in spans:
+            k = KINDS.index(kind)
+            tags[a:b], tags[a] = 2 + 2 * k, 1 + 2 * k
         size = WINDOW if r.random() < 0.9 else int(r.integers(8, WINDOW))
         x[row, :size], y[row, :size] = classes(text)[shift : shift + size], tags[shift : shift + size]
     return x, y
@@ -281,7 +324,7 @@ def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 _trained: dict[tuple, Tagger] = {}
 
 
-def trained(steps: int = 260) -> Tagger:
+def trained(steps: int = STEPS) -> Tagger:
     """The tagger, trained once a process; the seed fixes its weights."""
     if (key := (steps,)) not in _trained:
         tagger = Tagger()
@@ -313,6 +356,8 @@ def _plausible(kind: str, part: str) -> bool:
         return len(p := re.findall("[0-9]+", part)) == 4 and all(len(x) < 4 and int(x) < 256 for x in p)
     if kind == "card":
         return 16 <= digits <= 19 and luhn(_NOT_DIGIT.sub("", part))
+    if kind == "secret":
+        return len(part) >= 12 and digits > 0 and bool(re.fullmatch(r"[A-Za-z0-9+/=_.-]*[A-Za-z][A-Za-z0-9+/=_.-]*", part))
     return 8 <= digits <= 15 and not re.search("[A-Za-z]", part)
 
 
@@ -447,18 +492,18 @@ def _find(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
             part = some[at : at + 64]
             for k, spans in zip(part, added_spans(tagger, [texts[k] for k in part], [bases[k] for k in part]), strict=True):
                 added[k] = spans
-        counts = [pa.array([sum(s[0] == kind for s in b) for b in bases], pa.int64()) for kind in KINDS]
+        counts = [pa.array([sum(s[0] == kind for s in b) for b in bases], pa.int64()) for kind in BASE_KINDS]
         joined = [_joined(b) for b in bases]
         spans = [j if not a else _joined(b + a) for j, b, a in zip(joined, bases, added, strict=True)]
         digests = [hashlib.sha256(j.encode()).hexdigest() for j in joined]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *counts, pa.array(digests), pa.array(spans), pa.array([len(a) for a in added], pa.int64())],
-            ["key", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"],
+            [batch.column(0), *counts, pa.array(digests), pa.array(spans), pa.array([len(a) for a in added], pa.int64()), pa.array([len(b) + len(a) for b, a in zip(bases, added, strict=True)], pa.int64())],
+            ["key", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "n_added", "n_spans"],
         )
 
 
 def personal_data(df: DataFrame, key: str = "doc_id", text: str = "text", tagger: Tagger | None = None) -> DataFrame:
-    """(key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) of each row's whole text.
+    """(key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans) of each row's whole text.
 
     spans: kind:start:end in characters, by kind, then start, joined by commas.
     """
@@ -466,5 +511,5 @@ def personal_data(df: DataFrame, key: str = "doc_id", text: str = "text", tagger
     small_batches(spark)
     model = spark.sparkContext.broadcast(tagger or trained())
     src = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    schema = f"key {src.schema['key'].dataType.simpleString()}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long"
+    schema = f"key {src.schema['key'].dataType.simpleString()}, " + ", ".join(f"n_{k} long" for k in BASE_KINDS) + ", base_sha256 string, spans string, n_added long, n_spans long"
     return src.mapInArrow(lambda it: _find(it, model), schema).withColumnRenamed("key", key)

@@ -10,13 +10,13 @@ Per row the log posterior of each language adds up
   that towards the corpus. The counts are aggregated from all rows' text
   evidence; a row's own count is taken out of its prior.
 The trigram model is fitted on at most TRAIN_ROWS labelled rows, picked by the
-hash of their key; everything else covers all rows.
+hash of their key and text; everything else covers all rows.
 
 Rejected are rows without a letter and rows whose best class is `und`. Null
 and empty texts have no text evidence and are rejected. Missing declarations,
 addresses and hosts are no evidence. Ties go to the first language in order;
 repeated rows get equal results; empty tables give empty results; further
-columns are kept.
+columns are kept, but for those named like the results, which give way.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ TRAIN_ROWS = 2000
 BUCKETS = 1 << 15
 #: Weight of a trigram, reliability of a declaration, weight of an address hint, and prior of noise.
 TEMPER, RELIABLE, HINT, NOISE = 0.25, 0.85, 2.0, 1e-4
+RESULTS = ("language", "confidence", "text_language", "declared_language", "rejected")
 #: Pseudo-counts of each level of the host prior.
 SMOOTH = 5.0
 HOT_SHARE, SALTS = 500, 64
@@ -57,12 +58,24 @@ def _trigrams(buf: np.ndarray) -> np.ndarray:
     return (h >> np.uint32(17)).astype(np.int64)
 
 
-def fit(texts: list[str], labels: list[str]) -> np.ndarray:
-    """Log probabilities [class, bucket] from labelled texts."""
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, n): counts of each class's trigrams in rows (text, label)."""
+    counts = np.zeros((len(LANGUAGES), BUCKETS), np.int64)
+    for batch in batches:
+        labels = batch.column(1).to_pylist()
+        for first, _, buf, offs in blocks(batch.column(0)):
+            for k, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
+                if labels[first + k] in LANGUAGES:
+                    counts[LANGUAGES.index(labels[first + k])] += np.bincount(_trigrams(buf[a:b]), minlength=BUCKETS)
+    cell = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(counts.ravel()[cell])], ["cell", "n"])
+
+
+def fit(rows: DataFrame) -> np.ndarray:
+    """Log probabilities [class, bucket] from labelled rows (text, label); only the counts reach the driver."""
+    found = rows.mapInArrow(_labelled, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     counts = np.full((len(CLASSES), BUCKETS), 0.05)
-    for text, label in zip(texts, labels, strict=True):
-        if text and label in LANGUAGES:
-            counts[LANGUAGES.index(label)] += np.bincount(_trigrams(np.frombuffer(text.encode(), np.uint8)), minlength=BUCKETS)
+    counts.ravel()[found["cell"].to_numpy(np.int64)] += found["n"].to_numpy(np.float64)
     counts[-1] = 1.0
     # what no language has shown is as likely under each of them as under noise
     p = counts / counts.sum(1, keepdims=True)
@@ -74,9 +87,8 @@ def _likelihoods(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.Record
     logp = table.value.astype(np.float32)
     letters = _FOLD != 32
     for batch in batches:
-        names, at = batch.schema.names, batch.schema.names.index("__text")
         n_letters, ll = [], []
-        for _, _, buf, offs in blocks(batch.column(at)):
+        for _, _, buf, offs in blocks(batch.column(0)):
             grams = _trigrams(buf)
             a, b = offs[:-1], np.maximum(offs[1:] - 2, offs[:-1])
             own = np.zeros((len(a), len(CLASSES)))
@@ -88,11 +100,10 @@ def _likelihoods(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.Record
             ll.append(own)
         ll = np.concatenate(ll) if ll else np.zeros((0, len(CLASSES)))
         n_letters = np.concatenate(n_letters) if n_letters else np.zeros(0, np.int64)
-        keep = [k for k, x in enumerate(names) if x != "__text"]
         offsets = np.arange(len(ll) + 1, dtype=np.int32) * len(CLASSES)
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(k) for k in keep), pa.array(n_letters, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ll.ravel()))],
-            [*(names[k] for k in keep), "__letters", "__ll"],
+            [*batch.columns[1:], pa.array(n_letters, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ll.ravel()))],
+            [*batch.schema.names[1:], "__letters", "__ll"],
         )
 
 
@@ -120,15 +131,13 @@ def identify(
     train = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), label.alias("l")).where(F.col("l").isin(*LANGUAGES))
     labelled = train.select("l").count()
     if labelled > train_rows:
-        train = train.where(F.pmod(F.xxhash64("k"), F.lit(2**40)) < int(2**40 * 0.9 * train_rows / labelled))
-    train = train.limit(train_rows).collect()
-    table = spark.sparkContext.broadcast(fit([r["t"] for r in train], [r["l"] for r in train]))
-    src = df.withColumns(
-        {
-            "__text": F.col(text).cast("string"), "__declared": F.lower(F.substring(F.trim(declared), 1, 2)),
-            "__hint": address_hint(F.lower(address)), "__host": F.lower(host),
-        }
-    ).drop(text)
+        train = train.where(F.pmod(F.xxhash64("k", "t"), F.lit(2**40)) < int(2**40 * 0.9 * train_rows / labelled))
+    table = spark.sparkContext.broadcast(fit(train.select("t", "l").limit(train_rows)))
+    kept = [c for c in df.columns if c not in (text, *RESULTS)]
+    src = df.select(
+        F.col(text).cast("string").alias("__text"), F.struct(*(F.col(f"`{c}`") for c in kept)).alias("__row"), F.xxhash64(key).alias("__key"),
+        F.lower(F.substring(F.trim(declared), 1, 2)).alias("__declared"), address_hint(F.lower(address)).alias("__hint"), F.lower(host).alias("__host"),
+    )
     src = src.withColumns(
         {"__domain": F.regexp_extract("__host", r"([^.]+\.[^.]+)$", 1), "__suffix": F.regexp_extract("__host", r"([^.]+)$", 1)}
     )
@@ -159,7 +168,9 @@ def identify(
     salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     hosts = hosts.join(hot, "__host", "left").withColumn("__salt", F.explode(salts)).drop("__hot")
     salted = seen.drop("__domain", "__suffix").join(hot, "__host", "left")
-    salted = salted.withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).otherwise(0))
+    # rows without a host meet nothing, and are dealt out likewise
+    drawn = F.pmod(F.xxhash64("__key", "__letters"), F.lit(SALTS)).cast("int")
+    salted = salted.withColumn("__salt", F.when(F.col("__hot") | F.col("__host").isNull(), drawn).otherwise(0))
     full = salted.join(hosts, ["__host", "__salt"], "left")
     own = F.array(*(F.when(F.col("__by_text") == c, 1.0).otherwise(0.0) for c in range(len(CLASSES))))
 
@@ -189,7 +200,7 @@ def identify(
         }
     )
     full = full.withColumn("rejected", (F.col("__letters") == 0) | (F.col("language") == "und"))
-    return full.drop(*(c for c in full.columns if c.startswith("__")))
+    return full.select(*(F.col("__row").getField(c).alias(c) for c in kept), *RESULTS)
 
 
 def page_text(html: Column) -> Column:

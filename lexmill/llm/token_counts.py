@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.bytescan import mix
-from lexmill.llm.common import small_batches
+from lexmill.llm.common import release, small_batches
 from lexmill.llm.pieces import ROW_CHARS, HashIndex, PieceModel, chunks, loaded, model_bytes
 
 #: Tables of chunks that a Python worker keeps.
@@ -58,6 +58,8 @@ class PrefixCounts:
                 self.piece_at[n] = HashIndex(*np.array(own, np.int64).T)
         self.pair_keys, self.pair_ok = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
         self.total: dict[str, int] = {}
+        #: Chunks of the group at hand that don't fit a row.
+        self.far: list[str] = []
         #: int8 counts as bytes, or an array for a long chunk
         self.tables: dict[str, bytes | np.ndarray] = {}
         self.again: set[str] = set()
@@ -159,6 +161,7 @@ class PrefixCounts:
             if len(c) <= ROW_CHARS and "\0" not in c:
                 short.append(c)
             else:
+                self.far.append(c)
                 self.tables[c] = self.long(c)
                 self.total[c] = int(self.tables[c][-1])
         short.sort(key=len, reverse=True)
@@ -194,6 +197,9 @@ class PrefixCounts:
                 if known[key]:
                     last[i], count[i] = token, count[i - k] + (len(chunk[i - 1].encode()) if token >= model.n else 1)
                     break
+            else:  # no stable token ends here
+                symbols = model.agenda(chunk[:i])
+                last[i], count[i] = symbols[-1], len(model.ids_of(symbols))
         return np.array(count, np.int32)
 
     def know(self, met: set[str]) -> None:
@@ -206,6 +212,12 @@ class PrefixCounts:
         self.again.update(c for c in met - new if len(c) <= ROW_CHARS)
         self.learn(list(new))
 
+    def drop_long(self) -> None:
+        """Forget the tables of chunks beyond a row, which can be of any size."""
+        for c in self.far:
+            del self.tables[c], self.total[c]
+        self.far.clear()
+
     def table(self, text: str) -> np.ndarray:
         """Tokens of text[:i] for i = 0 .. len(text); chunks must be known."""
         parts = chunks(text)
@@ -259,6 +271,7 @@ def _batches(batches: Iterator[pa.RecordBatch], proto: bytes, budget: int, whole
                     fits.append(len(t) if n <= budget else counts.fitting(p, budget))
                     if whole:
                         tables.append(counts.table(t))
+                counts.drop_long()
                 group, size = [], 0
         arrays = [key, pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(fits, pa.int64())]
         names = ["key", "n_bytes", "n_tokens", "fitting_chars"]
@@ -266,6 +279,7 @@ def _batches(batches: Iterator[pa.RecordBatch], proto: bytes, budget: int, whole
             arrays.append(pa.array(tables, pa.list_(pa.int32())))
             names.append("prefix_tokens")
         yield pa.RecordBatch.from_arrays(arrays, names)
+    release()
 
 
 def token_counts(

@@ -7,34 +7,47 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import metric_form, tokens
+from lexmill.functions.text import metric_form, once, tokens
 
 
-def token_f1(df: DataFrame, key: str, prediction: str, reference: str, form: str) -> DataFrame:
-    """(key, precision, recall, f1, exact_match) of each row, by multisets of tokens in a normal form.
+def token_overlap(prediction: Column | str, reference: Column | str, form: str) -> Column:
+    """Struct of precision, recall, f1 and exact_match by multisets of tokens in a normal form.
 
-    A row's tokens of both sides are sorted together and read once: no shuffle.
+    Tokens of both sides are sorted together and read once.
     """
-    p, r = metric_form(prediction, form), metric_form(reference, form)
-    base = df.select(F.col(key), p.alias("p"), r.alias("r"))
-    base = base.select(key, (F.col("p") == F.col("r")).cast("int").alias("exact_match"), tokens(F.col("p")).alias("p"), tokens(F.col("r")).alias("r"))
-    tagged = lambda side, p: F.transform(side, lambda t: F.struct(t.alias("t"), F.lit(p).alias("p")))
-    both = F.concat(tagged("p", 1), tagged("r", 0))
-    start = F.struct(F.lit("").alias("t"), *(F.lit(0).alias(c) for c in ("p", "r", "common")))
-
-    def read(s: Column, x: Column) -> Column:
-        same = s["t"] == x["t"]
-        return F.struct(
-            x["t"].alias("t"), (F.when(same, s["p"]).otherwise(0) + x["p"]).alias("p"), (F.when(same, s["r"]).otherwise(0) + 1 - x["p"]).alias("r"),
-            (s["common"] + F.when(same, 0).otherwise(F.least(s["p"], s["r"]))).alias("common"),
-        )
-
-    common = F.aggregate(F.sort_array(both), start, read, lambda s: s["common"] + F.least(s["p"], s["r"]))
-    joined = base.select(key, "exact_match", common.alias("common"), F.size("p").alias("n_p"), F.size("r").alias("n_r"))
-    ratio = lambda n: F.when(F.col("common") > 0, F.col("common") / F.col(n)).otherwise(0.0)
-    out = joined.withColumns({"precision": ratio("n_p"), "recall": ratio("n_r")})
-    f1 = F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
-    return out.select(key, "precision", "recall", F.coalesce(f1, F.lit(0.0)).alias("f1"), "exact_match")
+
+    def common(s: Column) -> Column:
+        tagged = lambda side, p: F.transform(side, lambda t: F.struct(t.alias("t"), F.lit(p).alias("p")))
+        start = F.struct(F.lit("").alias("t"), *(F.lit(0).alias(c) for c in ("p", "r", "common")))
+
+        def read(s: Column, x: Column) -> Column:
+            same = s["t"] == x["t"]
+            return F.struct(
+                x["t"].alias("t"), (F.when(same, s["p"]).otherwise(0) + x["p"]).alias("p"), (F.when(same, s["r"]).otherwise(0) + 1 - x["p"]).alias("r"),
+                (s["common"] + F.when(same, 0).otherwise(F.least(s["p"], s["r"]))).alias("common"),
+            )
+
+        both = F.sort_array(F.concat(tagged(s["p"], 1), tagged(s["r"], 0)))
+        return F.aggregate(both, start, read, lambda s: s["common"] + F.least(s["p"], s["r"]))
+
+    def ratios(s: Column) -> Column:
+        ratio = lambda n: F.when(s["common"] > 0, s["common"] / n).otherwise(0.0)
+        return F.struct(ratio(s["n_p"]).alias("precision"), ratio(s["n_r"]).alias("recall"), s["exact_match"].alias("exact_match"))
+
+    def scored(s: Column) -> Column:
+        total = s["precision"] + s["recall"]
+        f1 = F.when(total > 0, 2 * s["precision"] * s["recall"] / total).otherwise(0.0)
+        return F.struct(s["precision"].alias("precision"), s["recall"].alias("recall"), f1.alias("f1"), s["exact_match"].alias("exact_match"))
+
+    texts = F.struct(metric_form(prediction, form).alias("p"), metric_form(reference, form).alias("r"))
+    split = once(texts, lambda s: F.struct(tokens(s["p"]).alias("p"), tokens(s["r"]).alias("r"), (s["p"] == s["r"]).cast("int").alias("exact_match")))
+    counted = once(split, lambda s: F.struct(common(s).alias("common"), F.size(s["p"]).alias("n_p"), F.size(s["r"]).alias("n_r"), s["exact_match"].alias("exact_match")))
+    return once(once(counted, ratios), scored)
+
+
+def token_f1(df: DataFrame, key: str, prediction: str, reference: str, form: str, *keep: str) -> DataFrame:
+    """(key, keep, precision, recall, f1, exact_match) of each row: no shuffle."""
+    return df.select(key, *keep, token_overlap(prediction, reference, form).alias("__x")).select(key, *keep, "__x.*")
 
 
 def grouped_means(df: DataFrame, metrics: list[str], by: list[str]) -> DataFrame:

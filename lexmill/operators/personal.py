@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions.text import once
+
 # The ten patterns, in report order.
 PATTERNS = {
     "email": r"(?i)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
@@ -60,11 +62,6 @@ def _can_hold(text: Column, name: str) -> Column:
     return text.contains("@") if name == "email" else text.rlike(NEEDED.get(name, r"(?U)\d"))
 
 
-def _with(x: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a column that is computed once, however often f uses it."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
-
-
 def _of(f: Callable[[Column, str], Column], name: str) -> Callable[[Column], Column]:
     return lambda x: f(x, name)
 
@@ -128,7 +125,7 @@ def anonymised(text: Column, strategy: str = "replace", entities: tuple[str, ...
 
     out = text
     for e in entities:
-        out = _with(out, _of(without, e))
+        out = once(out, _of(without, e))
     return out
 
 

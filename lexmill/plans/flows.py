@@ -84,5 +84,5 @@ def preference_data(raw: DataFrame, known_prompts: DataFrame, benchmark_prompts:
 
 def evaluated(predictions: DataFrame, form: str = "punctuation") -> tuple[DataFrame, DataFrame]:
     """From (id, prediction, reference, language, task): scores of each row, and means over all and by language and task."""
-    scored = evaluation.token_f1(predictions, "id", "prediction", "reference", form).join(predictions.select("id", "language", "task"), "id")
+    scored = evaluation.token_f1(predictions, "id", "prediction", "reference", form, "language", "task")
     return scored, evaluation.grouped_means(scored, ["f1", "exact_match"], ["language", "task"])

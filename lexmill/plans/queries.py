@@ -527,7 +527,7 @@ for _form in _FORM:
 
 def _scored_predictions(spark, d):
     p = predictions(spark, d)
-    return evaluation.token_f1(p, "doc_id", "prediction", "reference", "punctuation").join(p.select("doc_id", "lang", "source"), "doc_id")
+    return evaluation.token_f1(p, "doc_id", "prediction", "reference", "punctuation", "lang", "source")
 
 
 _GROUPED = """select 'all' as dimension, 'all' as value, count(*) as n, avg(f1) as mean_f1, avg(exact_match) as mean_exact_match from f
@@ -542,10 +542,9 @@ def metric_by_dimension(spark, d):
 
 def _deltas(spark, d):
     """Difference of two normal forms' F1, as of a base and a candidate model."""
-    p = predictions(spark, d)
-    one = evaluation.token_f1(p, "doc_id", "prediction", "reference", "plain").select("doc_id", F.col("f1").alias("base"))
-    two = evaluation.token_f1(p, "doc_id", "prediction", "reference", "punctuation").select("doc_id", F.col("f1").alias("candidate"))
-    return one.join(two, "doc_id").join(p.select("doc_id", "source"), "doc_id").withColumn("delta", F.round(F.col("candidate") - F.col("base"), 9))
+    f1 = lambda form: evaluation.token_overlap("prediction", "reference", form)["f1"]
+    both = predictions(spark, d).select("doc_id", "source", f1("plain").alias("base"), f1("punctuation").alias("candidate"))
+    return both.withColumn("delta", F.round(F.col("candidate") - F.col("base"), 9))
 
 
 _DELTA = f"""with a as ({_f1('plain')} select doc_id, source, f1 from f), b as ({_f1('punctuation')} select doc_id, f1 from f),

@@ -175,7 +175,8 @@ class PieceModel:
         out: list = [None] * len(texts)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         odd = (sizes > ROW_CHARS) | (sizes == 0)
-        odd |= np.fromiter(("\0" in s for s in texts), bool, len(texts))
+        if "\0" in "".join(texts):
+            odd |= np.fromiter(("\0" in s for s in texts), bool, len(texts))
         for k in np.flatnonzero(odd).tolist():
             out[k] = self.agenda(texts[k])
         rows = np.flatnonzero(~odd)

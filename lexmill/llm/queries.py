@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm import decontaminate, language_id, line_dedup, lm_score, ngram_join, pii, sentencepieces, suffix_dedup, token_counts, topk
 from lexmill.llm.common import table
+from lexmill.session import dealt
 
 PIECES = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
@@ -20,52 +21,56 @@ def tokenizer_path(name: str = PIECES) -> str:
     return str(public_tokenizers.path(name))
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dealt(table(spark, sf_dir, "documents"))
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select(
         "doc_id", "n_lines", "n_lines_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256")
     )
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepieces.encode_texts(table(spark, sf_dir, "documents"), tokenizer_path(), whole=False)
+    return sentencepieces.encode_texts(documents(spark, sf_dir), tokenizer_path(), whole=False)
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+    return ngram_join.near_duplicates(documents(spark, sf_dir), n=3, num=90, den=100)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return decontaminate.contamination_digest(found)
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+    return lm_score.lm_scores(documents(spark, sf_dir))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.personal_data(table(spark, sf_dir, "documents"))
+    return pii.personal_data(documents(spark, sf_dir))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), TOKEN_LIMIT)
+    found = token_counts.token_counts(documents(spark, sf_dir), tokenizer_path(), TOKEN_LIMIT)
     return found.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), whole=False)
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir), whole=False)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
     found = language_id.identify(docs, "doc_id", "text", declared=F.col("lang"), host=F.col("source"))
     return found.select("doc_id", "language", "confidence", "text_language", "declared_language", "rejected")
 
 
 def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same operator over raw web pages: markup, address and host are evidence."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.col("html"), language_id.page_text(F.col("html")).alias("text"))
+    pages = dealt(table(spark, sf_dir, "pages")).select("page_id", "url", F.col("html"), language_id.page_text(F.col("html")).alias("text"))
     pages = pages.withColumn("declared", language_id.markup_language(F.col("html"))).drop("html")
     found = language_id.identify(pages, "page_id", "text", declared=F.col("declared"), address=F.col("url"))
     return found.select("page_id", "language", "confidence", "text_language", "declared_language", "rejected")

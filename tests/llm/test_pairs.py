@@ -112,9 +112,13 @@ def test_ngram_join(spark, n, num):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in out.collect()} == sets_by_hand(rows, n, num)
 
 
-def test_ngram_join_of_large_groups(spark, monkeypatch):
-    """Near copies that link only in chains, in buckets of several blocks and tree levels."""
+@pytest.mark.parametrize("hot", [False, True])
+def test_ngram_join_of_large_groups(spark, monkeypatch, hot):
+    """Near copies that link only in chains, in trees of several blocks and levels, dealt before they are gathered or after."""
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 40)
+    if hot:
+        monkeypatch.setattr(ngram_join, "SEEN", 1)
+        monkeypatch.setattr(ngram_join, "HOT_SHARE", 0)
     r = random.Random(5)
     w = [f"w{k}" for k in range(120)]
     rows = []

@@ -3,6 +3,7 @@
 import hashlib
 
 import public_tokenizers
+import pytest
 import sentencepiece
 from helpers import SCHEMA, documents
 from test_pairs import lines_by_hand, sets_by_hand
@@ -31,7 +32,7 @@ def test_pipeline(spark, tmp_path):
         if k == 0:
             assert {i for i, t in texts.items() if t and any(c.isalpha() for c in t)} == set(after)
         if k == 1:
-            want = lines_by_hand(before, line_dedup.MIN_CHARS)
+            want = lines_by_hand(before, line_dedup.MIN_CHARS, line_dedup.MIN_EXACT)
             assert {i: r.text for i, r in after.items()} == {i: w[0] for i, w in want.items() if not w[2] or w[0].strip()}
         if k == 2:
             assert set(after) == {i for i, (_, top) in sets_by_hand(before, 5, 80).items() if i == top}
@@ -41,8 +42,20 @@ def test_pipeline(spark, tmp_path):
             lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
             want = {r[0]: hashlib.sha256(",".join(map(str, lib.encode(r[1] or ""))).encode()).hexdigest() for r in before}
             assert {i: r.ids_sha256 for i, r in after.items()} == want
-    whole = {tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert whole == {tuple(r) for r in docs.collect()}
+            assert all(r.ids == lib.encode(t or "") and r.decoded == lib.decode(r.ids) and not r.n_corrected for i, t, *_ in before for r in [after[i]])
+    assert {str(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {str(r) for r in docs.collect()}
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_of_odd_tables(spark, tmp_path, k):
+    """An empty table, and a table with further columns whose names clash with a stage's own."""
+    spark.createDataFrame([(1, "x y z")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stage = corpus_pipeline.STAGES[k][1]
+    assert stage(spark, spark.createDataFrame([], SCHEMA), str(tmp_path)).count() == 0
+    text = "the house of the man and the river that was with them"
+    docs = spark.createDataFrame([(1, text, "en", "s", 9, "a", 5, "b"), (None, text, "en", "s", 9, "a", 5, "b")], f"{SCHEMA}, row string, key int, language string")
+    out = stage(spark, docs, str(tmp_path))
+    assert out.count() == 2 and (k == 4 or out.columns == corpus_pipeline.COLUMNS)
 
 
 def test_rows_of_repeated_and_missing_ids(spark, tmp_path):

@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import cut
 
-#: Components of a shard, and queries of a block.
-SHARD_CELLS, QUERY_BLOCK = 1 << 21, 256
+#: Most components of a shard, fewest vectors where cores are idle, and queries of a block.
+SHARD_CELLS, LEAST_VECTORS, QUERY_BLOCK = 1 << 21, 4096, 256
 _TYPES = {1: np.int8, 2: np.int16, 4: np.int32, 8: np.int64}
 
 
@@ -175,7 +175,8 @@ def top_k(
     vecs = cut(src.mapInArrow(lambda it: _packed(it, scale), "id long, vec binary, width long"))
     n, width = vecs.agg(F.count("*"), F.max("width")).first()
     width = max(width or 0, 1)
-    shards = max(1, -(-n * width // shard_cells))
+    # a shard for each core while shards are not small
+    shards = max(1, -(-n * width // shard_cells), min(df.sparkSession.sparkContext.defaultParallelism, n // LEAST_VECTORS))
     # rows are dealt by their place in the written table, so that many rows of one id are no single shard
     drawn = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int")
     held = vecs.select(drawn.alias("shard"), F.lit(0).alias("asks"), "id", "vec")

@@ -85,9 +85,9 @@ def bit_filter(hashes: DataFrame, bits: int):
     """A broadcast bitmap of the hashes (column h of longs); its size is `bits`, however many there are."""
     place = F.col("h").bitwiseAND(bits - 1)
     words = hashes.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("bits"))
-    got = words.toPandas()  # at most bits / 64 rows
+    got = words.toArrow()  # at most bits / 64 rows
     out = np.zeros(bits // 64, np.int64)
-    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy()
     return hashes.sparkSession.sparkContext.broadcast(out.view(np.uint64))
 
 

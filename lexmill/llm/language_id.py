@@ -73,9 +73,9 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(rows: DataFrame) -> np.ndarray:
     """Log probabilities [class, bucket] from labelled rows (text, label); only the counts reach the driver."""
-    found = rows.mapInArrow(_labelled, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.mapInArrow(_labelled, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.full((len(CLASSES), BUCKETS), 0.05)
-    counts.ravel()[found["cell"].to_numpy(np.int64)] += found["n"].to_numpy(np.float64)
+    counts.ravel()[found["cell"].to_numpy()] += found["n"].to_numpy()
     counts[-1] = 1.0
     # what no language has shown is as likely under each of them as under noise
     p = counts / counts.sum(1, keepdims=True)

@@ -314,17 +314,15 @@ def anonymised_json(
 def anonymisation_report(df: DataFrame, dataset: str) -> DataFrame:
     """(dataset, entity, n, n_records): replacements of each entity by dataset and in all; entity `any` counts changed
     records, `untouched` those left for their language."""
-    each = df.select(F.col(dataset).alias("dataset"), "found")
-    each = each.union(each.select(F.lit("all").alias("dataset"), "found"))
-    per = each.select("dataset", F.explode("found").alias("entity", "n")).groupBy("dataset", "entity").agg(F.sum("n").alias("n"), F.count("*").alias("n_records"))
-    changed = F.size(F.map_keys("found")) > 0
-    whole = each.groupBy("dataset").agg(
-        F.coalesce(F.sum(F.aggregate(F.map_values("found"), F.lit(0).cast("long"), lambda s, x: s + x)), F.lit(0)).alias("n"),
-        F.count_if(changed).alias("changed"), F.count_if(F.col("found").isNull()).alias("untouched"),
-    )
-    return per.union(whole.select("dataset", F.lit("any").alias("entity"), "n", "changed")).union(
-        whole.where("untouched > 0").select("dataset", F.lit("untouched").alias("entity"), F.lit(0).cast("long"), "untouched")
+    row = lambda entity, n, records: F.named_struct(F.lit("entity"), entity, F.lit("n"), n.cast("long"), F.lit("n_records"), records.cast("long"))
+    found = F.coalesce("found", F.create_map().cast("map<string,bigint>"))
+    total = F.aggregate(F.map_values(found), F.lit(0).cast("long"), lambda s, x: s + x)
+    rows = F.concat(
+        F.transform(F.map_entries(found), lambda e: row(e["key"], e["value"], F.lit(1))), F.array(row(F.lit("any"), total, total > 0)),
+        F.when(F.col("found").isNull(), F.array(row(F.lit("untouched"), F.lit(0), F.lit(1)))).otherwise(F.array().cast("array<struct<entity:string,n:bigint,n_records:bigint>>")),
     )
+    each = df.select(F.explode(F.array(F.col(dataset), F.lit("all"))).alias("dataset"), rows.alias("rows")).select("dataset", F.explode("rows").alias("x"))
+    return each.groupBy("dataset", "x.entity").agg(F.sum("x.n").alias("n"), F.sum("x.n_records").alias("n_records"))
 
 
 def alert_summary(found: DataFrame, key: str, by: tuple[str, ...]) -> DataFrame:

@@ -182,7 +182,8 @@ def top_k(
     held = vecs.select(drawn.alias("shard"), F.lit(0).alias("asks"), "id", "vec")
     queries = vecs.where(F.col("id") % every == 0).groupBy("id").agg(F.min("vec").alias("vec"))
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), "id", "vec")
-    rows = held.union(asked).repartition("shard").sortWithinPartitions("shard", "asks", "id")
+    # with a number, so that few bytes aren't brought together in few tasks: the work is in the products
+    rows = held.union(asked).repartition(2 * shards, "shard").sortWithinPartitions("shard", "asks", "id")
     found = rows.mapInArrow(lambda it: _searched(it, width, k, block), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (

@@ -8,12 +8,16 @@ bucket plus its place in it.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import seeded
 
 SPLITS = ("train", "validation", "test")
+#: Decimal, so that quotas are computed exactly.
+TRAIN, VALIDATION = Decimal("0.8"), Decimal("0.1")
 
 
 def ranked(df: DataFrame, strata: list[str], key: str, seed: int, digits: int = 3) -> DataFrame:
@@ -48,13 +52,17 @@ def _largest(df: DataFrame, share: Column, total: Column, order: list[Column], r
     return df.withColumn(name, (F.col("__base") + more).cast("long")).drop("__base", "__frac", "__left", "__open")
 
 
-def split_quotas(counts: DataFrame, strata: list[str], train: float = 0.8, validation: float = 0.1) -> DataFrame:
-    """(strata, n, train, validation, test): largest remainders twice, the rest is test; totals are exact."""
+def split_quotas(counts: DataFrame, strata: list[str], train: Decimal | float = TRAIN, validation: Decimal | float = VALIDATION) -> DataFrame:
+    """(strata, n, train, validation, test): largest remainders twice, the rest is test; totals are exact.
+
+    Equal remainders go to the smaller stratum. With shares of type float they are computed in doubles, whose
+    rounding tells equal remainders apart.
+    """
     n = F.col("n")
     df = counts.withColumn("__all", F.sum("n").over(Window.partitionBy()))
     order = [F.desc("__frac"), *strata]
-    df = _largest(df, n * train, F.round(F.col("__all") * train), order, name="train")
-    df = _largest(df, n * validation, F.round(F.col("__all") * validation), order, room=n - F.col("train"), name="validation")
+    df = _largest(df, n * F.lit(train), F.round(F.col("__all") * F.lit(train)), order, name="train")
+    df = _largest(df, n * F.lit(validation), F.round(F.col("__all") * F.lit(validation)), order, room=n - F.col("train"), name="validation")
     return df.withColumn("test", n - F.col("train") - F.col("validation")).drop("__all")
 
 
@@ -73,9 +81,11 @@ def _quota_join(df: DataFrame, quotas: DataFrame, strata: list[str], names: list
     return joined.drop(*names, *(f"__q_{s}" for s in strata)).withColumnsRenamed({f"__q_{n}": n for n in names})
 
 
-def stratified_split(df: DataFrame, strata: list[str], key: str, seed: int) -> DataFrame:
+def stratified_split(
+    df: DataFrame, strata: list[str], key: str, seed: int, train: Decimal | float = TRAIN, validation: Decimal | float = VALIDATION
+) -> DataFrame:
     """`df` with split: train, validation and test in each stratum by its quotas."""
-    quotas = split_quotas(df.groupBy(*strata).agg(F.count("*").alias("n")), strata)
+    quotas = split_quotas(df.groupBy(*strata).agg(F.count("*").alias("n")), strata, train, validation)
     r = _quota_join(ranked(df, strata, key, seed), quotas, strata, ["train", "validation"])
     split = F.when(F.col("__rank") <= F.col("train"), "train").when(F.col("__rank") <= F.col("train") + F.col("validation"), "validation")
     return r.withColumn("split", split.otherwise("test")).drop("__rank", "train", "validation")
@@ -93,9 +103,9 @@ def require_complete(df: DataFrame, split: DataFrame, key: str) -> DataFrame:
     return split
 
 
-def split_conformance(df: DataFrame, strata: list[str]) -> DataFrame:
+def split_conformance(df: DataFrame, strata: list[str], train: Decimal | float = TRAIN, validation: Decimal | float = VALIDATION) -> DataFrame:
     """(strata, split, expected, actual) of every stratum and split."""
-    quotas = split_quotas(df.groupBy(*strata).agg(F.count("*").alias("n")), strata)
+    quotas = split_quotas(df.groupBy(*strata).agg(F.count("*").alias("n")), strata, train, validation)
     expected = quotas.select(*strata, F.explode(F.create_map(*(x for s in SPLITS for x in (F.lit(s), F.col(s))))).alias("split", "expected"))
     actual = df.groupBy(*strata, "split").agg(F.count("*").alias("actual"))
     both = expected.withColumn("actual", F.lit(0).cast("long")).union(actual.select(*strata, "split", F.lit(0).cast("long"), "actual"))

@@ -124,9 +124,9 @@ _STRATA = "case when doc_id % 3 = 0 then null else lang end"
     v as (select *, b2 + case when n - train > b2 and row_number() over (partition by n - train > b2 order by f2 desc, label nulls first) <= round(total * 0.1::double) - sum(b2) over () then 1 else 0 end as validation from bv)
     select label, cast(n as bigint) as n, cast(train as bigint) as train, cast(validation as bigint) as validation, cast(n - train - validation as bigint) as test from v""")
 def null_stratum_split(spark, d):
-    """A split by strata of which one is null; each row is in one split."""
+    """A split by strata of which one is null; each row is in one split. Its quotas, like its SQL's, are computed in doubles."""
     x = docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("label"))
-    split = sampling.stratified_split(x, ["label"], "doc_id", 7)
+    split = sampling.stratified_split(x, ["label"], "doc_id", 7, train=0.8, validation=0.1)
     count = lambda s: F.count_if(F.col("split") == s).alias(s)
     return split.groupBy("label").agg(F.count("*").alias("n"), *map(count, sampling.SPLITS))
 

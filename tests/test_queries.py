@@ -49,6 +49,24 @@ def test_query(spark, duck, name):
         assert got == rows([c[0] for c in cur.description], cur.fetchall())
 
 
+@pytest.fixture(scope="module")
+def tied(spark, tmp_path_factory):
+    """Documents of two strata whose remainders of 0.8 are equal, but not in doubles: 18 and 23 rows."""
+    d = str(tmp_path_factory.mktemp("tied"))
+    columns = ["id as doc_id", "cast(id % 18 as string) as text", "'en' as lang", "if(id < 18, 'src0', 'src1') as source", "2L as n_chars"]
+    spark.range(41).selectExpr(*columns).write.parquet(f"{d}/documents.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", ["split_conformance"])
+def test_equal_remainders(spark, tied, name):
+    cur = duckdb.connect()
+    cur.execute(f"create view documents as select * from '{tied}/documents.parquet/*.parquet'")
+    cur.execute(core.SQL[name])
+    df = core.QUERIES[name](spark, tied)
+    assert rows(df.columns, df.collect()) == rows([c[0] for c in cur.description], cur.fetchall())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -3,6 +3,7 @@
 import json
 import string
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -47,6 +48,21 @@ def test_quotas_are_exact(spark, sizes):
     assert sum(r.train for r in q) == int(total * 0.8 + 0.5) and all(abs(r.train - 0.8 * r.n) < 1 for r in q)
 
 
+def test_equal_remainders_go_to_the_smaller_stratum(spark):
+    sizes = {"a": 2718, "b": 18, "c": 112623, "d": 23, "e": 237, "f": 2792, "g": 2_999_999_998}
+    counts = spark.createDataFrame(list(sizes.items()), "k string, n long")
+    total, want, left = sum(sizes.values()), {}, sizes
+    for share in (Fraction(8, 10), Fraction(1, 10)):
+        base = {k: min(int(n * share), left[k]) for k, n in sizes.items()}
+        more = sorted((k for k in sizes if left[k] > base[k]), key=lambda k: (base[k] - sizes[k] * share, k))[: int(total * share + Fraction(1, 2)) - sum(base.values())]
+        quota = {k: base[k] + (k in more) for k in sizes}
+        left = {k: left[k] - quota[k] for k in sizes}
+        want = {k: (*want.get(k, ()), quota[k]) for k in sizes}
+    got = {r.k: (r.train, r.validation) for r in sampling.split_quotas(counts, ["k"]).collect()}
+    assert got == want
+    assert got != {r.k: (r.train, r.validation) for r in sampling.split_quotas(counts, ["k"], 0.8, 0.1).collect()}
+
+
 def test_quota_of_a_known_case(spark):
     counts = spark.createDataFrame([("easy", 237), ("hard", 196), ("length", 180)], "label string, n long")
     assert {r.label: r.quota for r in sampling.proportional_quotas(counts, "label", 100, ties="count").collect()} == {"easy": 39, "hard": 32, "length": 29}

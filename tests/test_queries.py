@@ -58,7 +58,7 @@ def tied(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["split_conformance", "split_leakage", "stratified_split", "split_fingerprint"])
+@pytest.mark.parametrize("name", ["split_conformance", "split_leakage", "stratified_split", "split_fingerprint", "split_quota_table"])
 def test_equal_remainders(spark, tied, name):
     cur = duckdb.connect()
     cur.execute(f"create view documents as select * from '{tied}/documents.parquet/*.parquet'")

@@ -21,8 +21,8 @@ TRAIN, VALIDATION = Decimal("0.8"), Decimal("0.1")
 
 
 def ranked(df: DataFrame, strata: list[str], key: str, seed: int, digits: int = 3) -> DataFrame:
-    """`df` with __rank: exact place in its stratum in the order of the seeded hash, from 1."""
-    h = df.withColumn("__h", seeded(seed, key)).withColumn("__b", F.substring("__h", 1, digits))
+    """`df` with __rank: exact place in its stratum in the order of the seeded hash, from 1. No id counts as an empty one."""
+    h = df.withColumn("__h", F.coalesce(seeded(seed, key), seeded(seed, F.lit("")))).withColumn("__b", F.substring("__h", 1, digits))
     counts = h.groupBy(*strata, "__b").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*strata).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
@@ -140,8 +140,11 @@ def group_split(df: DataFrame, group: Column, key: str, label: str, score: str,
 def fingerprint(df: DataFrame, split: str, key: str) -> DataFrame:
     """(split, fingerprint): digest of each split's digests of ordered ids.
 
-    Ids are digested in ranges first, so no task holds all ids of a split.
+    Ids are digested in ranges first, so no task holds all ids of a split. Rows without an id don't count; a split of
+    only such rows has none.
     """
     part = F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 4)
-    parts = df.groupBy(split, part.alias("__p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(key)).cast("array<string>"), ","), 256).alias("d"))
-    return parts.groupBy(split).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__p", "d"))), lambda x: x["d"]), ","), 256).alias("fingerprint"))
+    digest = lambda xs: F.when(F.size(xs) > 0, F.sha2(F.array_join(xs, ","), 256))
+    parts = df.groupBy(split, part.alias("__p")).agg(digest(F.array_sort(F.collect_list(key)).cast("array<string>")).alias("d"))
+    known = F.collect_list(F.when(F.col("d").isNotNull(), F.struct("__p", "d")))
+    return parts.groupBy(split).agg(digest(F.transform(F.array_sort(known), lambda x: x["d"])).alias("fingerprint"))

@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lexmill.plans import registry as core
@@ -67,6 +68,17 @@ def test_equal_remainders(spark, tied, name):
     assert rows(df.columns, df.collect()) == rows([c[0] for c in cur.description], cur.fetchall())
 
 
+@pytest.mark.parametrize("name", ["stratified_split", "split_conformance", "split_fingerprint"])
+def test_split_keeps_rows_without_an_id(spark, tmp_path, name):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("doc_id", F.expr("if(doc_id % 9 = 0, null, doc_id)"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    cur = duckdb.connect()
+    cur.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    cur.execute(core.SQL[name])
+    df = core.QUERIES[name](spark, str(tmp_path))
+    assert rows(df.columns, df.collect()) == rows([c[0] for c in cur.description], cur.fetchall())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
